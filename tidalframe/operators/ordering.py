@@ -23,13 +23,21 @@ from pyspark.sql import functions as F
 from tidalframe.session import cut_lineage, default_buckets
 
 
-def value_bounds(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
-    """Range limits of every column, from one pass of quantile sketches."""
+def bounds_and_gaps(
+    df: DataFrame, cols: Sequence[str], buckets: int | None = None
+) -> tuple[dict[str, list[float]], list[str]]:
+    """Range limits of every column from quantile sketches, and the columns that have nulls. One pass."""
     k = buckets or default_buckets(df.sparkSession)
     probabilities = [i / k for i in range(1, k)]
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    found = doubles.approxQuantile(list(cols), probabilities, 0.25 / k)
-    return {c: sorted(set(limits)) for c, limits in zip(cols, found)}
+    sketches = [F.percentile_approx(F.col(c).cast("double"), probabilities, 4 * k).alias(f"q{i}") for i, c in enumerate(cols)]
+    gaps = [F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(f"g{i}") for i, c in enumerate(cols)]
+    row = df.agg(*sketches, *gaps).first()
+    bounds = {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(cols)}
+    return bounds, [c for i, c in enumerate(cols) if row[f"g{i}"]]
+
+
+def value_bounds(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
+    return bounds_and_gaps(df, cols, buckets)[0]
 
 
 def range_bucket(v: Column, bounds: Sequence[float]) -> Column:
@@ -58,7 +66,7 @@ def melt_values(df: DataFrame, cols: Sequence[str], carry: Mapping[str, Column]
 def cumulative_counts(
     long: DataFrame, bounds: Mapping[str, Sequence[float]], weights: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Per stat and distinct v: for each weight ``w`` its sum ``w`` and ``w_before``, its sum over smaller values."""
+    """Per stat and distinct v: for each weight ``w`` its sum ``w``, ``w_before``, its sum over smaller values, and ``w_total``."""
     sums = dict(weights or {"n": F.count(F.lit(1))})
     counts = long.groupBy("stat", "v").agg(*[e.alias(w) for w, e in sums.items()])
     bucket = reduce(
@@ -66,24 +74,31 @@ def cumulative_counts(
         bounds.items(),
         F.lit(0),
     )
-    counts = counts.withColumn("bucket", bucket)
+    # Never null, so that no null filter is pushed below one use of the counts only: both uses share one shuffle.
+    counts = counts.withColumn("bucket", F.coalesce(bucket, F.lit(0)))
     earlier = Window.partitionBy("stat").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.groupBy("stat", "bucket")
         .agg(*[F.sum(w).alias(w) for w in sums])
-        .select("stat", "bucket", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"{w}_offset") for w in sums])
+        .select(
+            "stat", "bucket",
+            *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"{w}_offset") for w in sums],
+            *[F.sum(w).over(Window.partitionBy("stat")).alias(f"{w}_total") for w in sums],
+        )
     )
     within = Window.partitionBy("stat", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     running = counts.select(
         "stat", "bucket", "v", *sums, *[F.coalesce(F.sum(w).over(within), F.lit(0)).alias(f"{w}_inside") for w in sums]
     )
     return running.join(offsets, ["stat", "bucket"]).select(
-        "stat", "v", *sums, *[(F.col(f"{w}_offset") + F.col(f"{w}_inside")).alias(f"{w}_before") for w in sums]
+        "stat", "v", *sums,
+        *[(F.col(f"{w}_offset") + F.col(f"{w}_inside")).alias(f"{w}_before") for w in sums],
+        *[f"{w}_total" for w in sums],
     )
 
 
 def ranked_values(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """(stat, v, n, n_before) of several columns in one job."""
+    """(stat, v, n, n_before, n_total) of several columns in one job."""
     return cumulative_counts(melt_values(df, cols), value_bounds(df, cols, buckets))
 
 
@@ -99,9 +114,7 @@ def exact_percentiles(
     df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
     """(stat, n, p0, p1, ...): linear-interpolated percentiles of every column."""
-    ranked = ranked_values(df, cols, buckets)
-    totals = melt_values(df, cols).groupBy("stat").agg(F.count(F.lit(1)).alias("total"))
-    placed = ranked.join(totals, "stat")
+    placed = ranked_values(df, cols, buckets).withColumnRenamed("n_total", "total")
 
     def at(position: Column) -> Column:
         inside = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
@@ -134,16 +147,20 @@ def median_iqr(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -
 
 def describe_exact(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of every column."""
-    moments = melt_values(df, cols).groupBy("stat").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"),
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
+                F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+            ).alias(c)
+            for c in cols
+        ]
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    moments = wide.select(F.inline(F.array(*[F.col(f"`{c}`") for c in cols])))
     return (
-        names.join(moments.withColumnRenamed("stat", "column"), "column", "left")
-        .join(median_iqr(df, cols, buckets), "column", "left")
+        moments.join(median_iqr(df, cols, buckets), "column", "left")
         .select(
-            "column", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min",
+            "column", "count", "mean", "std", "min",
             F.col("q1").alias("p25"), F.col("median").alias("p50"), F.col("q3").alias("p75"), "max",
         )
     )
@@ -170,13 +187,12 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], buckets: int | None = No
     """
     names = list(cols)
     base = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    missing = base.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in names]).first()
-    with_nulls = [c for c in names if missing[c]]
+    bounds, with_nulls = bounds_and_gaps(base, names, buckets)
     slot = {c: i + 1 for i, c in enumerate(with_nulls)}
     known = {f"known{i}": F.col(c).isNotNull().cast("int") for c, i in slot.items()}
     weights = {"w0": F.count(F.lit(1)), **{f"w{i}": F.sum(f"known{i}") for i in slot.values()}}
     ranks = cut_lineage(
-        cumulative_counts(melt_values(base, names, known), value_bounds(base, names, buckets), weights).select(
+        cumulative_counts(melt_values(base, names, known), bounds, weights).select(
             "stat", "v", F.array(*[F.col(f"{w}_before") + (F.col(w) + 1) / 2 for w in weights]).alias("ranks")
         )
     )
@@ -205,22 +221,22 @@ def high_corr_pairs(matrix: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def expand_copies(ranked: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """(v, position) for every copy of every value, positions from 1. Large groups split over tasks."""
+    """(v, n_total, position) for every copy of every value, positions from 1. Large groups split over tasks."""
     parts = ranked.select(
-        "v", "n", "n_before", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1), F.lit(chunk).cast("bigint"))).alias("first")
+        "v", "n", "n_before", "n_total", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1), F.lit(chunk).cast("bigint"))).alias("first")
     )
-    spread = parts.repartition(F.col("v"), F.col("first"))
+    spread = parts.repartition("v", "first")
     last = F.least(F.col("first") + chunk, F.col("n")) - 1
-    return spread.select("v", (F.explode(F.sequence("first", last)) + F.col("n_before") + 1).alias("position"))
+    start, end = F.col("n_before") + F.col("first") + 1, F.col("n_before") + last + 1
+    return spread.select("v", "n_total", F.explode(F.sequence(start, end)).alias("position"))
 
 
 def normal_qq(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     """Points of a normal quantile plot: (position, theoretical, observed), medians of order statistics by Filliben."""
     from tidalframe.functions.normal import inverse_normal
 
-    total = df.agg(F.count(col).alias("n")).scalar()
     points = expand_copies(ranked_values(df, [col], buckets))
-    i = F.col("position")
+    i, total = F.col("position"), F.col("n_total")
     last_place = F.pow(F.lit(0.5), 1 / total)
     place = F.when(i == total, last_place).when(i == 1, 1 - last_place).otherwise((i - 0.3175) / (total + 0.365))
     return points.select("position", inverse_normal(place).alias("theoretical"), F.col("v").alias("observed"))
