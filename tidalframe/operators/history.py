@@ -1,29 +1,50 @@
-"""Training curves: two phases as one, and where early stopping ends a run."""
+"""Training curves: two phases as one, and where early stopping ends a run.
+
+Runs are cut into blocks of consecutive epochs: windows work inside a block and small
+per-block totals carry over, so one very long run still spreads over tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 65_536
+
 
-def concat_history(first: DataFrame, second: DataFrame, run: str = "run_id") -> DataFrame:
+def concat_history(first: DataFrame, second: DataFrame, run: str = "run_id", block: int = BLOCK) -> DataFrame:
     """Append the epochs of phase 2 to those of phase 1 and number them from 1 per run."""
     both = first.withColumn("phase", F.lit(1)).unionByName(second.withColumn("phase", F.lit(2)), allowMissingColumns=True)
-    order = Window.partitionBy(run).orderBy("phase", "epoch")
-    return both.withColumn("phase_epoch", F.col("epoch")).withColumn("epoch", F.row_number().over(order).cast("bigint"))
+    both = both.withColumnRenamed("epoch", "phase_epoch").withColumn("_block", F.floor(F.col("phase_epoch") / block))
+    inside = Window.partitionBy(run, "phase", "_block").orderBy("phase_epoch")
+    earlier = Window.partitionBy(run).orderBy("phase", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = both.groupBy(run, "phase", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    numbered = both.withColumn("_i", F.row_number().over(inside)).join(offsets, [run, "phase", "_block"])
+    return numbered.withColumn("epoch", F.col("_offset") + F.col("_i")).drop("_offset", "_i", "_block")
 
 
-def early_stop(history: DataFrame, patience: int = 10, metric: str = "val_accuracy", run: str = "run_id") -> DataFrame:
+def early_stop(
+    history: DataFrame, patience: int = 10, metric: str = "val_accuracy", run: str = "run_id", block: int = BLOCK
+) -> DataFrame:
     """Per run the epoch with the best value so far when training ends, and the epoch it ends at.
 
     Training ends at the first epoch that is ``patience`` after the last improvement, else at the last epoch.
     """
-    before = Window.partitionBy(run).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(run).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    best_before = F.max(metric).over(before)
-    improved = best_before.isNull() | (F.col(metric) > best_before)
-    marked = history.select(run, "epoch", metric, F.when(improved, F.col("epoch")).alias("better"))
-    tracked = marked.withColumn("best_epoch", F.max("better").over(so_far))
+    blocked = history.select(run, "epoch", metric, F.floor(F.col("epoch") / block).alias("_block"))
+    before_block = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Highest value first, earliest epoch among equals: its epoch is the last improvement.
+    peak = F.max(F.struct(F.col(metric).alias("m"), (-F.col("epoch")).alias("neg")))
+    carried = (
+        blocked.groupBy(run, "_block").agg(peak.alias("peak"))
+        .select(run, "_block", F.max("peak").over(before_block).alias("carry"))
+    )
+    so_far = Window.partitionBy(run, "_block").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.max(F.struct(F.col(metric).alias("m"), (-F.col("epoch")).alias("neg"))).over(so_far)
+    tracked = (
+        blocked.withColumn("_inside", inside).join(carried, [run, "_block"])
+        .select(run, "epoch", (-F.greatest("_inside", "carry")["neg"]).alias("best_epoch"))
+    )
     out_of_patience = F.col("epoch") - F.col("best_epoch") >= patience
     ended = tracked.groupBy(run).agg(
         F.min(F.when(out_of_patience, F.struct("epoch", "best_epoch"))).alias("hit"),
