@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     """Import every module that registers queries."""
     from tidalframe.plans import (  # noqa: F401
-        features, images, metrics, ordering, profiling, relational, scoring,
+        features, images, metrics, modelling, ordering, profiling, relational, scoring, transfer,
     )
