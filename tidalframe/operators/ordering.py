@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import quote
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalframe.session import cut_lineage, default_buckets
+from tidalframe.session import default_buckets, scratch_path
 
 
 def bounds_and_gaps(
@@ -177,13 +178,18 @@ def roc_auc(df: DataFrame, label: str, score: str, buckets: int | None = None) -
     return steps.agg(F.try_divide(won, pairs).alias("roc_auc"))
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Correlation, null when a side does not vary. Both sides have to be null on the same rows."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+
 def spearman_matrix(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Absolute rank correlation of every pair over the rows where both are known: (col_a, col_b, rho).
 
     A column is ranked once per other column that has nulls, all in one pass: counts of a
     value restricted to the rows where that other column is known ride along as extra weights
     of the same sort. Ranks then come back to the rows by value, one equi join per column,
-    and every pair is a ``corr`` of one aggregate.
+    and all pairs are measured by one aggregate.
     """
     names = list(cols)
     base = df.select(*[F.col(c).cast("double").alias(c) for c in names])
@@ -191,14 +197,19 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], buckets: int | None = No
     slot = {c: i + 1 for i, c in enumerate(with_nulls)}
     known = {f"known{i}": F.col(c).isNotNull().cast("int") for c, i in slot.items()}
     weights = {"w0": F.count(F.lit(1)), **{f"w{i}": F.sum(f"known{i}") for i in slot.values()}}
-    ranks = cut_lineage(
-        cumulative_counts(melt_values(base, names, known), bounds, weights).select(
-            "stat", "v", F.array(*[F.col(f"{w}_before") + (F.col(w) + 1) / 2 for w in weights]).alias("ranks")
-        )
-    )
+    path = scratch_path(df.sparkSession, "ranks")
+    ranked = cumulative_counts(melt_values(base, names, known), bounds, weights)
+    ranked.select(
+        "stat", "v", F.array(*[F.col(f"{w}_before") + (F.col(w) + 1) / 2 for w in weights]).alias("ranks")
+    ).write.partitionBy("stat").parquet(path)
     rows = base
     for c in names:
-        side = ranks.where(F.col("stat") == c).select(F.col("v").alias(f"v#{c}"), F.col("ranks").alias(f"r#{c}"))
+        if not bounds[c]:
+            rows = rows.withColumn(f"r#{c}", F.lit(None).cast("array<double>"))
+            continue
+        # One folder per column: the planner sees the size of this rank table alone and broadcasts only a small one.
+        side = df.sparkSession.read.schema("v DOUBLE, ranks ARRAY<DOUBLE>").parquet(f"{path}/stat={quote(c)}")
+        side = side.select(F.col("v").alias(f"v#{c}"), F.col("ranks").alias(f"r#{c}"))
         rows = rows.join(side, F.col(c) == F.col(f"`v#{c}`"), "left").drop(f"v#{c}")
 
     def rank_of(c: str, other: str) -> Column:
@@ -206,7 +217,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], buckets: int | None = No
 
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     measured = rows.agg(
-        *[F.abs(F.corr(rank_of(a, b), rank_of(b, a))).alias(f"{i}#rho") for i, (a, b) in enumerate(pairs)]
+        *[F.abs(safe_corr(rank_of(a, b), rank_of(b, a))).alias(f"{i}#rho") for i, (a, b) in enumerate(pairs)]
     )
     records = []
     for i, (a, b) in enumerate(pairs):
@@ -246,5 +257,5 @@ def normal_qq_fit(points: DataFrame) -> DataFrame:
     """Least-squares line and correlation of the plot."""
     y, x = F.col("observed"), F.col("theoretical")
     return points.agg(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r")
+        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), safe_corr(x, y).alias("r")
     )

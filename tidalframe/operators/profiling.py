@@ -156,9 +156,8 @@ def healthy_share(df: DataFrame, target: str = "percent_bleaching", *by: str) ->
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Share of every class in percent."""
-    known = df.where(F.col(label).isNotNull())
-    total = known.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("percent", F.col("n") * 100.0 / total)
+    counts = value_counts(df, label)
+    return counts.withColumn("percent", F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar())
 
 
 def class_counts(df: DataFrame, col: str, classes: Sequence[str]) -> DataFrame:

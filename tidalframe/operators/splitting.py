@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidalframe.session import pin_small
+
 HASH_SPAN = 1 << 32
 
 
@@ -51,7 +53,9 @@ def hash_order_cuts(df: DataFrame, key: str, cls: str, cuts: dict[str, Column],
         .select("cls", "r", "cut", (F.col("target") - F.col("upto") + F.col("m")).alias("place"))
     )
     in_range = Window.partitionBy("cls", "r", "cut").orderBy("h", "k")
-    numbered = keyed.join(wanted, ["cls", "r"]).withColumn("i", F.row_number().over(in_range))
+    # One row per class and cut, joined with every row: a literal table when the classes are few, as classes are.
+    targets_of = pin_small(wanted).withColumnsRenamed({"cls": "_cls", "r": "_r"})
+    numbered = keyed.join(targets_of, F.col("cls").eqNullSafe(F.col("_cls")) & (F.col("r") == F.col("_r"))).withColumn("i", F.row_number().over(in_range))
     found = numbered.where(F.col("i") == F.col("place"))
     return found.groupBy("cls").agg(
         *[F.max(F.when(F.col("cut") == name, F.struct("h", "k"))).alias(name) for name in cuts]
@@ -59,7 +63,7 @@ def hash_order_cuts(df: DataFrame, key: str, cls: str, cuts: dict[str, Column],
 
 
 def _with_cuts(df: DataFrame, key: str, cls: str, cuts: dict[str, Column]) -> tuple[DataFrame, Column]:
-    found = hash_order_cuts(df, key, cls, cuts).withColumnRenamed("cls", "_cls")
+    found = pin_small(hash_order_cuts(df, key, cls, cuts)).withColumnRenamed("cls", "_cls")
     place = F.struct(key_hash(F.col(key)).alias("h"), F.col(key).alias("k"))
     return df.join(found, F.col(cls).eqNullSafe(F.col("_cls")), "left").drop("_cls"), place
 

@@ -37,8 +37,7 @@ def training_set(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, lis
         rows = splitting.random_split(labelled(spark, d), "row_key", 20, seed=models.SEED)
         pre = features.fit_preprocessor(rows.where("split = 'train'"), FEATURES, CATEGORIES, keep=["row_key", "label", "split"])
         path = scratch_path(spark, "training")
-        prepared = pre.transform(rows)
-        prepared.repartition("row_key").write.parquet(path)
+        pre.transform(rows).write.parquet(path)
         _prepared[at] = (path, features.feature_name_list(pre), pre)
     path, names, pre = _prepared[at]
     prepared = spark.read.parquet(path)

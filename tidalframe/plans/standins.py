@@ -5,6 +5,8 @@ Each view is one SQL text that both engines run, except pixels, where array synt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +87,32 @@ MEASURES = ["percent_bleaching", "depth_m", "turbidity", "percent_cover", "dista
 FEATURES = ["depth_m", "turbidity", "distance_to_shore"]
 
 
+_plans: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The same lazy plan for every use in a session: footers and listings are read once."""
+    at = (spark.sparkContext.applicationId, folder, name)
+    if at not in _plans or _plans[at].sparkSession is not spark:
+        _plans[at] = make()
+    return _plans[at]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return _once(spark, folder, name, lambda: spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input with fewer splits than cores; an input with more is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def view(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """Run a view text over the parquet tables it names."""
     used = {t: table(spark, folder, t) for t in TABLES if "{" + t + "}" in sql}
+    if sql is OBS_RAW:
+        used["lineitem"] = spread(used["lineitem"])
     return spark.sql(sql, **used)
 
 
@@ -101,7 +122,7 @@ def plain(sql: str) -> str:
 
 
 def obs_raw(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, OBS_RAW)
+    return _once(spark, folder, "reef_obs_raw", lambda: view(spark, folder, OBS_RAW))
 
 
 def obs_dup(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,13 +44,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidalframe/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def default_buckets(spark: SparkSession) -> int:
     """Range buckets for distributed ordering: one per shuffle partition, within sane limits."""
     return max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8192))
+
+
+# Rows up to which a table is taken to the driver to become a literal table of known size.
+SMALL_ROWS = 50_000
+
+
+def pin_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """A table checked to be small, as literal rows: its size is known, so joins with it need no shuffle.
+
+    A larger one stays the plan it is and joins the ordinary way.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
