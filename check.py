@@ -14,7 +14,7 @@ from tidalframe.session import build_session
 
 def normal(value):
     if isinstance(value, float):
-        return "nan" if value != value else round(value, 6) + 0.0
+        return repr(round(value, 6))  # as text, so that -0.0 and 0.0 differ
     if hasattr(value, "isoformat"):
         return value.isoformat()[:19].replace("T00:00:00", "")
     if isinstance(value, (list, tuple)):

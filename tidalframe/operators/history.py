@@ -6,22 +6,32 @@ per-block totals carry over, so one very long run still spreads over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 65_536
 
 
+def number_rows(df: DataFrame, by: Sequence[str], block: Column, order: Sequence[str | Column], out: str) -> DataFrame:
+    """Consecutive numbers from 1 within ``by``. ``block`` must not fall along the order; rows of a block are numbered together."""
+    keys = list(by)
+    blocked = df.withColumn("_block", block)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    numbered = blocked.withColumn("_i", inside).join(offsets, [*keys, "_block"])
+    return numbered.withColumn(out, F.col("_offset") + F.col("_i")).drop("_offset", "_i", "_block")
+
+
 def concat_history(first: DataFrame, second: DataFrame, run: str = "run_id", block: int = BLOCK) -> DataFrame:
     """Append the epochs of phase 2 to those of phase 1 and number them from 1 per run."""
     both = first.withColumn("phase", F.lit(1)).unionByName(second.withColumn("phase", F.lit(2)), allowMissingColumns=True)
-    both = both.withColumnRenamed("epoch", "phase_epoch").withColumn("_block", F.floor(F.col("phase_epoch") / block))
-    inside = Window.partitionBy(run, "phase", "_block").orderBy("phase_epoch")
-    earlier = Window.partitionBy(run).orderBy("phase", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = both.groupBy(run, "phase", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    numbered = both.withColumn("_i", F.row_number().over(inside)).join(offsets, [run, "phase", "_block"])
-    return numbered.withColumn("epoch", F.col("_offset") + F.col("_i")).drop("_offset", "_i", "_block")
+    both = both.withColumnRenamed("epoch", "phase_epoch")
+    blocks = F.struct("phase", F.floor(F.col("phase_epoch") / block).alias("b"))
+    return number_rows(both, [run], blocks, ["phase_epoch"], "epoch")
 
 
 def early_stop(

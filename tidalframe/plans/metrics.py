@@ -73,7 +73,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w4_concat_history", f"WITH {HISTORY_CTE}, both_phases AS (SELECT run_id, epoch, val_accuracy, 1 AS phase FROM history WHERE epoch <= 10 UNION ALL SELECT run_id, epoch - 10, val_accuracy, 2 FROM history WHERE epoch > 10) SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY phase, epoch) AS BIGINT) AS epoch, CAST(epoch AS BIGINT) AS phase_epoch, phase, val_accuracy FROM both_phases")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    h = history(spark, d).withColumn("epoch", F.col("epoch").cast("bigint"))
+    h = history(spark, d)
     return curves.concat_history(h.where("epoch <= 10"), h.where("epoch > 10").withColumn("epoch", F.col("epoch") - 10))
 
 
@@ -83,5 +83,4 @@ UNION ALL SELECT h.run_id, h.epoch, CASE WHEN h.val_accuracy > w.best THEN h.epo
 FROM walk w JOIN history h ON h.run_id = w.run_id AND h.epoch = w.epoch + 1 WHERE w.epoch - w.best_epoch < 10)
 SELECT run_id, CAST(max(best_epoch) AS BIGINT) AS best_epoch, CAST(max(epoch) AS BIGINT) AS stopped_epoch, max(epoch) - max(best_epoch) >= 10 AS stopped_early FROM walk GROUP BY run_id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    h = history(spark, d).withColumn("epoch", F.col("epoch").cast("bigint"))
-    return curves.early_stop(h, patience=10)
+    return curves.early_stop(history(spark, d), patience=10)

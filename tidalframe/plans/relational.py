@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.functions import labels
 from tidalframe.operators import cleaning, enrich, profiling, scoring, selection
 from tidalframe.plans.catalog import query
 from tidalframe.plans.standins import (
-    GRID_CELLS, GRID_CTE, OBS_CTE, REQUESTS_CTE, SITE_POINTS, obs, r6, requests, table, view,
+    GRID_CELLS, GRID_CTE, OBS_CTE, REQUESTS_CTE, SITE_POINTS, numbered_events, obs, r6, requests, table, view,
 )
 
 
@@ -65,7 +65,7 @@ def _part_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("name"))
 
 
-@query("j7_name_importances", f"WITH {_IMPORTANCE_SQL} SELECT idx, p_name AS name, round(importance, 6) AS importance FROM imp JOIN part ON p_partkey = idx")
+@query("j7_name_importances", f"WITH {_IMPORTANCE_SQL} SELECT idx, p_name AS name, round(importance, 6) + 0.0 AS importance FROM imp JOIN part ON p_partkey = idx")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return selection.name_importances(_part_names(spark, d), _importances(spark, d))
 
@@ -81,7 +81,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.head(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 20, F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("o3_top_k_features", f"WITH {_IMPORTANCE_SQL}, named AS (SELECT idx, p_name AS name, round(importance, 6) AS importance FROM imp JOIN part ON p_partkey = idx) SELECT * FROM named ORDER BY abs(importance) DESC, idx LIMIT 20")
+@query("o3_top_k_features", f"WITH {_IMPORTANCE_SQL}, named AS (SELECT idx, p_name AS name, round(importance, 6) + 0.0 AS importance FROM imp JOIN part ON p_partkey = idx) SELECT * FROM named ORDER BY abs(importance) DESC, idx LIMIT 20")
 def _(spark: SparkSession, d: str) -> DataFrame:
     named = selection.name_importances(_part_names(spark, d), _importances(spark, d))
     return selection.top_k_features(named, 20)
@@ -99,8 +99,8 @@ _SWEEPS = """sweeps AS (SELECT user_id AS run, CAST(row_number() OVER (PARTITION
 
 
 def _sweeps(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    rows = table(spark, d, "events").select(F.col("user_id").alias("run"), seq.cast("bigint").alias("seq"), F.round(1 - F.col("value") / 500, 2).alias("f1"))
+    events = numbered_events(spark, d, "place")
+    rows = events.select(F.col("user_id").alias("run"), (F.col("place") - 1).alias("seq"), F.round(1 - F.col("value") / 500, 2).alias("f1"))
     k = F.get(F.array(*[F.lit(x) for x in (50, 30, 20, 10, 5)]), (F.col("seq") % 5).cast("int"))
     return rows.select("run", "seq", k.alias("k"), "f1")
 

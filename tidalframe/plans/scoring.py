@@ -42,12 +42,13 @@ def _tabular_requests(spark: SparkSession, d: str) -> DataFrame:
     return base.select("obs_no", "site_id", data.alias("tabular_data"))
 
 
-_ALL = ", ".join(f"'{r}'" for r in scoring.REQUIRED)
+_ALL = ", ".join(scoring.REQUIRED)
 
 
-@query("p8_required_fields", f"WITH {OBS_CTE} SELECT obs_no, site_id, CASE WHEN site_id % 9 = 0 THEN [{_ALL}] WHEN site_id % 10 = 0 THEN ['Depth_m', 'Windspeed'] ELSE CAST([] AS VARCHAR[]) END AS missing FROM obs")
+@query("p8_required_fields", f"WITH {OBS_CTE} SELECT obs_no, site_id, CASE WHEN site_id % 9 = 0 THEN '{_ALL}' WHEN site_id % 10 = 0 THEN 'Depth_m, Windspeed' ELSE '' END AS missing FROM obs")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.required_fields(_tabular_requests(spark, d)).select("obs_no", "site_id", "missing")
+    found = scoring.required_fields(_tabular_requests(spark, d))
+    return found.select("obs_no", "site_id", F.array_join("missing", ", ").alias("missing"))
 
 
 _MODE_RULES = """CASE WHEN prediction_type = 'Multi-Modal Fusion (Image + Data)' AND content_type IS NULL THEN 'Fusion requires an image.'

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.operators.cleaning import clean_missing, to_numeric_columns
+from tidalframe.operators.history import number_rows
 
 OBS_RAW = """
 SELECT l.l_orderkey * 10 + l.l_linenumber AS obs_no,
@@ -182,8 +183,16 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     return view(spark, folder, PAYLOADS)
 
 
+def numbered_events(spark: SparkSession, folder: str, out: str) -> DataFrame:
+    """Events with their place among the user's events in time order, from 1; numbered day by day, so a busy user is many tasks."""
+    return number_rows(table(spark, folder, "events"), ["user_id"], F.to_date("ts"), ["ts", "event_id"], out)
+
+
 def history(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, HISTORY)
+    """The rows of the view text ``HISTORY``."""
+    return numbered_events(spark, folder, "epoch").select(
+        F.col("user_id").alias("run_id"), F.col("epoch"), (F.col("value") / 500).alias("val_accuracy")
+    )
 
 
 def r6(name: str):
