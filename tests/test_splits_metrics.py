@@ -38,6 +38,15 @@ def test_folds_are_even_in_every_class(items):
 def test_split_does_not_sort_the_table(items):
     plan = splitting.stratified_split(items, "id", "cls")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Window" not in plan
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_more_classes_than_the_small_limit(spark, monkeypatch):
+    """Beyond the size check the cut table joins the ordinary way, with the same rows."""
+    df = spark.range(600).withColumn("cls", F.col("id") % 5)
+    small = {r.id: r.fold for r in splitting.stratified_folds(df, "id", "cls").collect()}
+    monkeypatch.setattr(splitting, "pin_small", lambda d: d)
+    assert {r.id: r.fold for r in splitting.stratified_folds(df, "id", "cls").collect()} == small
 
 
 def test_random_split_is_stable(spark):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tidalframe", cores: str = "8", shuffle_partitions: int | None = None) -> SparkSession:
@@ -54,9 +55,9 @@ SMALL_ROWS = 50_000
 
 
 def pin_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """A table checked to be small, as literal rows: its size is known, so joins with it need no shuffle.
+    """A table checked to be small, as literal rows marked for broadcast: joins with it need no shuffle.
 
     A larger one stays the plan it is and joins the ordinary way.
     """
     rows = df.limit(limit + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
