@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidalframe.functions.pixels import (
     CHANNELS, array_mean, channel, map_channels, sorted_percentile, to_byte_range,
 )
+from tidalframe.session import pin_small
 
 TINY = 1e-8
 
@@ -71,12 +72,14 @@ def gray_world_then_stretch(df: DataFrame, px: str = "px") -> DataFrame:
 
 
 def equalize_by_group(
-    df: DataFrame, value: str, group: Sequence[str], bins: int = 256, clip: float = 2.0, out: str = "equalized"
+    df: DataFrame, value: str, group: Sequence[str], bins: int = 256, clip: float = 2.0, out: str = "equalized",
+    few_groups: bool = False,
 ) -> DataFrame:
     """Histogram equalisation of integer values 0..bins-1 within each group, bin counts clipped.
 
     A bin keeps at most ``clip * size / bins`` values (one at least); what is cut off is spread evenly over all bins.
     Values are counted per (group, bin) before any shuffle, and a group's table has ``bins`` rows at most.
+    ``few_groups`` checks that all tables together are small and then broadcasts them instead of shuffling the rows.
     """
     keys = list(group)
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -88,7 +91,7 @@ def equalize_by_group(
     excess = F.col("_size") - F.sum("_kept").over(whole)
     below = F.sum("_kept").over(upto) + excess * (F.col(value) + 1) / bins
     table = clipped.select(*keys, value, F.round((bins - 1) * below / F.col("_size")).alias(out))
-    return df.join(table, [*keys, value])
+    return df.join(pin_small(table) if few_groups else table, [*keys, value])
 
 
 def tile_of(pixel: Column, width: int, height: int, tiles: int = 8) -> Column:

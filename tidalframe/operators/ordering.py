@@ -21,24 +21,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalframe.session import default_buckets, scratch_path
+from tidalframe.session import SMALL_ROWS, default_buckets, pin_small, scratch_path
 
 
-def bounds_and_gaps(
+def column_outline(
     df: DataFrame, cols: Sequence[str], buckets: int | None = None
-) -> tuple[dict[str, list[float]], list[str]]:
-    """Range limits of every column from quantile sketches, and the columns that have nulls. One pass."""
+) -> tuple[dict[str, list[float]], list[str], dict[str, int]]:
+    """Range limits of every column from quantile sketches, the columns that have nulls, and about how many values each has. One pass."""
     k = buckets or default_buckets(df.sparkSession)
     probabilities = [i / k for i in range(1, k)]
     sketches = [F.percentile_approx(F.col(c).cast("double"), probabilities, 4 * k).alias(f"q{i}") for i, c in enumerate(cols)]
     gaps = [F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(f"g{i}") for i, c in enumerate(cols)]
-    row = df.agg(*sketches, *gaps).first()
+    sizes = [F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
+    row = df.agg(*sketches, *gaps, *sizes).first()
     bounds = {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(cols)}
-    return bounds, [c for i, c in enumerate(cols) if row[f"g{i}"]]
+    return bounds, [c for i, c in enumerate(cols) if row[f"g{i}"]], {c: row[f"d{i}"] for i, c in enumerate(cols)}
 
 
 def value_bounds(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
-    return bounds_and_gaps(df, cols, buckets)[0]
+    return column_outline(df, cols, buckets)[0]
 
 
 def range_bucket(v: Column, bounds: Sequence[float]) -> Column:
@@ -105,9 +106,13 @@ def ranked_values(df: DataFrame, cols: Sequence[str], buckets: int | None = None
 
 def average_rank(df: DataFrame, col: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
     """Rank over the whole table, 1 for the smallest, ties share their mean; null stays null."""
-    ranks = ranked_values(df, [col], buckets).select(
+    bounds, _, sizes = column_outline(df, [col], buckets)
+    ranks = cumulative_counts(melt_values(df, [col]), bounds).select(
         F.col("v").alias("_v"), (F.col("n_before") + (F.col("n") + 1) / 2).alias(out)
     )
+    # Few values: the rank table is checked and broadcast, and the rows stay where they are.
+    if sizes[col] <= SMALL_ROWS // 2:
+        ranks = pin_small(ranks)
     return df.join(ranks, F.col(col).cast("double") == F.col("_v"), "left").drop("_v")
 
 
@@ -193,7 +198,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], buckets: int | None = No
     """
     names = list(cols)
     base = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    bounds, with_nulls = bounds_and_gaps(base, names, buckets)
+    bounds, with_nulls, _ = column_outline(base, names, buckets)
     slot = {c: i + 1 for i, c in enumerate(with_nulls)}
     known = {f"known{i}": F.col(c).isNotNull().cast("int") for c, i in slot.items()}
     weights = {"w0": F.count(F.lit(1)), **{f"w{i}": F.sum(f"known{i}") for i in slot.values()}}
