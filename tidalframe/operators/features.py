@@ -9,7 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.operators.ordering import median_iqr
+from tidalframe.operators.ordering import exact_percentiles
 
 # What a null category is called while columns are encoded; sorts after ordinary names.
 NULL_CATEGORY = "￿null"
@@ -21,8 +21,9 @@ Quartiles = Mapping[str, tuple[float, float, float]]
 
 def fit_quartiles(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float, float]]:
     """(q1, median, q3) per column: one small row each."""
-    rows = median_iqr(df, cols).collect()
-    return {r["column"]: (r["q1"], r["median"], r["q3"]) for r in rows}
+    rows = exact_percentiles(df, cols, (0.25, 0.5, 0.75)).collect()
+    found = {r["stat"]: (r["p0"], r["p1"], r["p2"]) for r in rows}
+    return {c: found.get(c, (None, None, None)) for c in cols}
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], quartiles: Quartiles | None = None) -> DataFrame:
@@ -77,7 +78,7 @@ def fit_preprocessor(
 
     The result is a plain ML pipeline model, so it can be saved, loaded and put before a classifier.
     Fitted numbers are literals of its first stage. ``df`` is the table to fit on: the training part,
-    or all rows to fit the way the notebook did.
+    or all rows when training and test parts share one fit.
     """
     q = quartiles or fit_quartiles(df, numeric)
     parts = [f"`{c}`" for c in keep]

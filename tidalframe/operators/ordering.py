@@ -162,12 +162,13 @@ def describe_exact(df: DataFrame, cols: Sequence[str], buckets: int | None = Non
             for c in cols
         ]
     )
+    quartiles = exact_percentiles(df, cols, (0.25, 0.5, 0.75), buckets).withColumnRenamed("stat", "column").drop("n")
     moments = wide.select(F.inline(F.array(*[F.col(f"`{c}`") for c in cols])))
     return (
-        moments.join(median_iqr(df, cols, buckets), "column", "left")
+        moments.join(quartiles, "column", "left")
         .select(
             "column", "count", "mean", "std", "min",
-            F.col("q1").alias("p25"), F.col("median").alias("p50"), F.col("q3").alias("p75"), "max",
+            F.col("p0").alias("p25"), F.col("p1").alias("p50"), F.col("p2").alias("p75"), "max",
         )
     )
 
