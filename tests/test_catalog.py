@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as contract
 from check import compare
+from tidalframe.plans import catalog
 from tidalframe.plans.standins import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,13 +15,15 @@ INVENTORY = (
     + [f"c{i}" for i in range(1, 19)] + [f"m{i}" for i in range(1, 22)] + [f"r{i}" for i in range(1, 5)]
     + [f"i{i}" for i in range(1, 7)] + ["t1"]
 )
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+catalog.load_all()
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 
 
 def test_every_operator_has_a_query():
     registered = {name.split("_")[0] for name in QUERIES}
     assert registered == set(INVENTORY)
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.fixture(scope="module")
