@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.llm.common import documents
+from tidalframe.llm.embedding_dedup import embedding_classes
+from tidalframe.llm.simhash import simhash_classes
 from tidalframe.llm.substring_dedup import substring_dedup
 from tidalframe.llm.suffix_dedup import suffix_dedup
 
@@ -35,3 +37,15 @@ def substring_query(spark: SparkSession, folder: str) -> DataFrame:
 def suffix_query(spark: SparkSession, folder: str) -> DataFrame:
     out = suffix_dedup(documents(spark, folder))
     return out.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op1_simhash_dedup")
+def simhash_query(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash_classes(documents(spark, folder))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@register("op7_embedding_dedup")
+def embedding_query(spark: SparkSession, folder: str) -> DataFrame:
+    out = embedding_classes(documents(spark, folder, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.expr("id <=> component").alias("kept"))
