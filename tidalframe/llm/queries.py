@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.llm.common import documents
+from tidalframe.llm import line_dedup, mixing, url_filter
+from tidalframe.llm.decontamination import contamination
 from tidalframe.llm.embedding_dedup import embedding_classes
 from tidalframe.llm.simhash import simhash_classes
 from tidalframe.llm.substring_dedup import substring_dedup
@@ -49,3 +51,27 @@ def simhash_query(spark: SparkSession, folder: str) -> DataFrame:
 def embedding_query(spark: SparkSession, folder: str) -> DataFrame:
     out = embedding_classes(documents(spark, folder, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.expr("id <=> component").alias("kept"))
+
+
+@register("op2_benchmark_decontamination")
+def decontamination_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    out = contamination(documents(spark, folder), documents(spark, folder, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "item_id", "windows", "item_windows", "changed")
+
+
+@register("op5_source_mixing", mixing.ORACLE)
+def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Every replicated document, by id and copy, in random order."""
+    return mixing.mix_sources(documents(spark, folder).select("doc_id", "source")).select("doc_id", "source", "copy")
+
+
+@register("op9_line_dedup", line_dedup.ORACLE)
+def line_query(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.line_dedup(documents(spark, folder).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op10_url_filter", url_filter.ORACLE)
+def url_query(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.url_filter(documents(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
