@@ -11,6 +11,8 @@ from tidalframe.llm.common import documents
 from tidalframe.llm import line_dedup, mixing, url_filter
 from tidalframe.llm.decontamination import contamination
 from tidalframe.llm.embedding_dedup import embedding_classes
+from tidalframe.llm.language_id import train
+from tidalframe.llm.quality import quality_classifier
 from tidalframe.llm.simhash import simhash_classes
 from tidalframe.llm.substring_dedup import substring_dedup
 from tidalframe.llm.suffix_dedup import suffix_dedup
@@ -75,3 +77,25 @@ def line_query(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_url_filter", url_filter.ORACLE)
 def url_query(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_filter(documents(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents labelled as good and not toxic."""
+    return documents(spark, folder, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+@register("op3_quality_classifier")
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its perplexity, the limit of its language and the decision."""
+    out = quality_classifier(documents(spark, folder).select("doc_id", "lang", "text"), trusted_ids(spark, folder)).rows()
+    return out.select("doc_id", "lang", "perplexity", "perplexity_limit", "keep")
+
+
+@register("op6_language_id")
+def language_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction of every document; those whose id has a CRC-32 of 1 modulo 3 are held out of training."""
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = train(docs.where("NOT held_out"))
+    return model.predict(docs.select("doc_id", "held_out", "text")).select("doc_id", "held_out", "lang_pred", "score", "accepted")

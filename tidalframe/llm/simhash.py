@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import materialise
+from tidalframe.llm.common import known_id, materialise
 from tidalframe.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -40,19 +40,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-_FINGERPRINTS = pa.schema([("id", pa.int64()), ("fingerprint", pa.int64())])
+_FINGERPRINTS = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("fingerprint", pa.int64())])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.int64())], schema=_FINGERPRINTS)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(prints, pa.int64())], schema=_FINGERPRINTS)
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """Table (id, fingerprint), one row per row."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, shingle=shingle), "id bigint, fingerprint bigint")
+    """Table (id, mark, fingerprint), one row per row; ``mark`` is a hash of the text."""
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return rows.mapInArrow(partial(_fingerprints, shingle=shingle), "id bigint, mark bigint, fingerprint bigint")
 
 
 def _variants(rows: DataFrame, width: int) -> DataFrame:
@@ -100,6 +101,17 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = B
     return links.distinct()
 
 
+def _classes(df: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and by fingerprint the least id and the first row (known id, mark) of its component."""
+    prints = materialise(fingerprints(df, id_col, text_col, shingle), "simhash-prints")
+    row = F.struct(known_id("id").alias("id"), F.col("mark").alias("mark"))
+    distinct = materialise(prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.min(row).alias("row")), "simhash-distinct")
+    linked = components(near_links(distinct, max_bits), "a", "b", "simhash")
+    classes = distinct.join(linked, distinct["fingerprint"] == linked["node"], "left").select("fingerprint", "least", "row", F.coalesce("component", "fingerprint").alias("class"))
+    firsts = classes.groupBy("class").agg(F.min("least").alias("component"), F.min("row").alias("first"))
+    return prints, classes.join(firsts, "class").select("fingerprint", "component", "first")
+
+
 def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row: id, fingerprint, component (least id reachable over links of ``max_bits`` bits or fewer).
 
@@ -107,23 +119,18 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal texts and repeated rows share a fingerprint and so a component. A null id stays null and is never the least,
     unless no other is there (then the component is null). Other columns are ignored; an empty table gives none.
     """
-    prints = materialise(fingerprints(df, id_col, text_col, shingle), "simhash-prints")
-    distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("least"))
-    linked = components(near_links(distinct, max_bits), "a", "b", "simhash")
-    classes = distinct.join(linked, distinct["fingerprint"] == linked["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("class"))
-    least = classes.groupBy("class").agg(F.min("least").alias("component"))
-    classes = classes.join(least, "class").select("fingerprint", "component")
+    prints, classes = _classes(df, id_col, text_col, shingle, max_bits)
     return prints.join(classes, "fingerprint").select("id", "fingerprint", "component")
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the row with the least id.
+    """The rows of ``df`` that stay: of each component the one with the least id, null ids last.
 
-    Of rows with the same least id, one stays. Components of null ids only keep one row.
+    Of rows with equal ids the one whose text has the least hash; of rows equal in id and text any one.
     """
-    keep = simhash_classes(df.select(id_col, text_col), id_col, text_col, shingle, max_bits).where("id <=> component").select("id").distinct()
-    # repeated ids: one row each, the one whose text has the least hash
-    order = F.struct(F.xxhash64(F.col(text_col).cast("string")), F.monotonically_increasing_id())
-    once = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).cast("bigint").alias("_id"), order.alias("_order"))
-    kept = once.join(keep, once["_id"].eqNullSafe(keep["id"]), "left_semi")
-    return kept.groupBy("_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    classes = _classes(df.select(id_col, text_col), id_col, text_col, shingle, max_bits)[1]
+    first = materialise(classes.select("first.id", "first.mark").distinct().withColumnsRenamed({"id": "_id", "mark": "_mark"}), "simhash-kept")
+    row = F.struct(*df.columns).alias("_row")
+    marked = df.select(known_id(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_mark"), row)
+    kept = marked.join(first, ["_id", "_mark"], "left_semi")
+    return kept.groupBy("_id", "_mark").agg(F.first("_row").alias("_row")).select("_row.*")
