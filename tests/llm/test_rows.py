@@ -87,6 +87,15 @@ def test_urls(spark):
         url_filter(df, host_rules=[], pattern_rules=[PatternRule("block", "all", ".", ())])
 
 
+def plain_quantile(i, rate):
+    u, k, p, c = int(md5(f"17:{i}")[:13], 16) / 2**52, 0, math.exp(-rate), math.exp(-rate)
+    while c <= u:
+        k += 1
+        p *= rate / k
+        c += p
+    return k
+
+
 def test_mixing(spark):
     rows = [(i, "big" if i % 3 else "small", f"t{i}") for i in range(6000)] + [(None, None, None), (7, None, ""), (7, None, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").selectExpr("*", "'c' AS copy", "1 AS rate", "2 AS _salted")
@@ -97,15 +106,7 @@ def test_mixing(spark):
     assert abs(n["big"] - 2000) < 250 and abs(n["small"] - 6000) < 400 and n[None] == 0
     rates = {"big": 2000 / 4000, "small": 6000 / 2000}
 
-    def quantile(i, rate):
-        u, k, p, c = int(md5(f"17:{i}")[:13], 16) / 2**52, 0, math.exp(-rate), math.exp(-rate)
-        while c <= u:
-            k += 1
-            p *= rate / k
-            c += p
-        return k
-
-    assert sorted((r.doc_id, r.copy) for r in got) == sorted((i, c + 1) for i, s, _ in rows if s for c in range(quantile(i, rates[s])))
+    assert sorted((r.doc_id, r.copy) for r in got) == sorted((i, c + 1) for i, s, _ in rows if s for c in range(plain_quantile(i, rates[s])))
     assert 0 < sum(a.doc_id > b.doc_id for a, b in zip(got, got[1:])) < len(got)
     equal = mix_sources(df).groupBy("source").count().collect()
     assert {r["source"] for r in equal} >= {"big", "small"}
