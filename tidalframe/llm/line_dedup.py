@@ -44,7 +44,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     """
     named = {"_id": known_id(id_col), "_hash": F.xxhash64(F.col(text_col).cast("string"))}
     rows = _chunks(df.select(id_col, text_col).withColumns(named), text_col, chunk_lines)
-    rows = rows.select("_id", "_hash", F.explode("_chunks").alias("c")).where(F.col("c.lines") >= least_lines)
+    # the outer form: for the other one the optimizer would add a filter that works out the chunks a second time, nested
+    rows = rows.select("_id", "_hash", F.explode_outer("_chunks").alias("c")).where(F.col("c.lines") >= least_lines)
     place = F.struct("_id", "_hash", "pos")
     rows = rows.select("_id", "_hash", F.col("c.pos").alias("pos"), F.xxhash64("c.text").alias("chunk"), F.col("c.text").alias("chunk_text"))
     met = rows.groupBy("chunk").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
