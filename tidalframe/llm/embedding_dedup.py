@@ -7,6 +7,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +64,28 @@ def decode(vectors: np.ndarray, code: int = CODE, filters: int = FILTERS) -> lis
     return out
 
 
+# Up to so many members, the pairs of all buckets are looked at together before a bucket is worked on its own.
+SMALL = 24
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    """Vectors of equal length, without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _with_links(x: np.ndarray, norm: np.ndarray, cuts: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the runs between the cuts hold a close pair; runs longer than SMALL may always do."""
+    size = np.diff(cuts)
+    group = np.repeat(np.arange(len(size)), size)
+    found = size > SMALL
+    for step in range(1, min(SMALL, int(size.max(initial=1)))):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        i = i[~found[group[i]]]
+        for at in range(0, len(i), 1 << 14):
+            a = i[at : at + (1 << 14)]
+            close = np.einsum("ij,ij->i", x[a], x[a + step]) >= (threshold - 1e-9) * norm[a] * norm[a + step]
+            found[group[a[close]]] = True
+    return found
 
 
 _FILTERS = pa.schema([("rep", pa.int64()), ("space", pa.int64()), ("filter", pa.int32())])
@@ -116,27 +137,31 @@ def _verify_group(f: int, halves: np.ndarray, x: np.ndarray, norm: np.ndarray, r
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Batches come sorted by (space, filter, pair); a group may run on into the next batch."""
     rest = None
-    schema = None
 
     def work(table: pa.Table):
         keys = np.stack([table.column(c).to_numpy() for c in ("space", "filter", "pair")])
         cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
-        x = _matrix(table.column("vec").combine_chunks()) if len({len(v) for v in table.column("vec").to_pylist()}) == 1 else None
-        vectors = table.column("vec").to_pylist() if x is None else None
-        reps, copies, halves = (table.column(c).to_numpy() for c in ("rep", "copies", "half"))
-        lists = table.column("filters").to_pylist()
+        columns = table.combine_chunks()
+        reps, copies, halves = (columns.column(c).to_numpy() for c in ("rep", "copies", "half"))
+        vectors, lists = columns.column("vec").combine_chunks(), columns.column("filters").combine_chunks()
+        lengths = pc.list_value_length(vectors).to_numpy()
+        # runs of one vector length; a bucket never mixes lengths
+        same = np.concatenate(([0], np.flatnonzero(np.diff(lengths)) + 1, [len(lengths)]))
         out = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b - a > 1:
-                v = x[a:b] if x is not None else np.array(vectors[a:b], np.float64)
-                got = _verify_group(int(keys[1, a]), halves[a:b], v, np.linalg.norm(v, axis=1), reps[a:b], copies[a:b], lists[a:b], threshold)
+        for lo, hi in zip(same[:-1].tolist(), same[1:].tolist()):
+            x = _matrix(vectors.slice(lo, hi - lo))
+            norm = np.linalg.norm(x, axis=1)
+            own = cuts[(cuts >= lo) & (cuts <= hi)] - lo
+            for g in np.flatnonzero(_with_links(x, norm, own, threshold)).tolist():
+                a, b = int(own[g]), int(own[g + 1])
+                got = _verify_group(int(keys[1, lo + a]), halves[lo + a : lo + b], x[a:b], norm[a:b], reps[lo + a : lo + b], copies[lo + a : lo + b], lists.slice(lo + a, b - a).to_pylist(), threshold)
                 if got is not None:
                     out.append(got)
         return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], schema=_FOUND)] if out else []
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            piece = pa.Table.from_batches([batch.slice(at, 2000)])
+        for at in range(0, batch.num_rows, 10000):
+            piece = pa.Table.from_batches([batch.slice(at, 10000)])
             table = pa.concat_tables([rest, piece]) if rest is not None else piece
             last = [table.column(c)[-1].as_py() for c in ("space", "filter", "pair")]
             same = np.all([table.column(c).to_numpy() == v for c, v in zip(("space", "filter", "pair"), last)], axis=0)
