@@ -41,8 +41,15 @@ def to_numeric(c: Column) -> Column:
 
 
 def parse_date(c: Column, layouts: tuple[str, ...] = DATE_LAYOUTS) -> Column:
-    """Date of a text column in any of the layouts, else null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(layout)) for layout in layouts]).cast("date")
+    """Date of a text column in any of the layouts, else null. Two-digit years are 1969 to 2068."""
+
+    def one(layout: str) -> Column:
+        date = F.try_to_timestamp(c, F.lit(layout)).cast("date")
+        if "yyyy" in layout or "yy" not in layout:
+            return date
+        return F.when(F.year(date) > 2068, F.add_months(date, -1200)).otherwise(date)
+
+    return F.coalesce(*[one(layout) for layout in layouts])
 
 
 def obs_year(c: Column) -> Column:

@@ -22,10 +22,17 @@ def number_rows(df: DataFrame, by: Sequence[str], block: Column, order: Sequence
     offsets = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
-    numbered = blocked.withColumn("_i", inside).join(offsets, [*keys, "_block"])
+    numbered = _join_null_safe(blocked.withColumn("_i", inside), offsets, [*keys, "_block"])
     return numbered.withColumn(out, F.col("_offset") + F.col("_i")).drop("_offset", "_i", "_block")
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys meet null keys."""
+    right = right.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    same = [left[k].eqNullSafe(right[f"_right_{i}"]) for i, k in enumerate(keys)]
+    return left.join(right, same).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def concat_history(first: DataFrame, second: DataFrame, run: str = "run_id", block: int = BLOCK) -> DataFrame:
     """Append the epochs of phase 2 to those of phase 1 and number them from 1 per run."""
     both = first.withColumn("phase", F.lit(1)).unionByName(second.withColumn("phase", F.lit(2)), allowMissingColumns=True)
@@ -40,8 +47,10 @@ def early_stop(
     """Per run the epoch with the best value so far when training ends, and the epoch it ends at.
 
     Training ends at the first epoch that is ``patience`` after the last improvement, else at the last epoch.
+    A null or NaN value is no improvement; rows with a null run are a run of their own.
     """
-    blocked = history.select(run, "epoch", metric, F.floor(F.col("epoch") / block).alias("_block"))
+    value = F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric)).alias(metric)
+    blocked = history.select(run, "epoch", value, F.floor(F.col("epoch") / block).alias("_block"))
     before_block = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     # Highest value first, earliest epoch among equals: its epoch is the last improvement.
     peak = F.max(F.struct(F.col(metric).alias("m"), (-F.col("epoch")).alias("neg")))
@@ -52,7 +61,7 @@ def early_stop(
     so_far = Window.partitionBy(run, "_block").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
     inside = F.max(F.struct(F.col(metric).alias("m"), (-F.col("epoch")).alias("neg"))).over(so_far)
     tracked = (
-        blocked.withColumn("_inside", inside).join(carried, [run, "_block"])
+        _join_null_safe(blocked.withColumn("_inside", inside), carried, [run, "_block"])
         .select(run, "epoch", (-F.greatest("_inside", "carry")["neg"]).alias("best_epoch"))
     )
     out_of_patience = F.col("epoch") - F.col("best_epoch") >= patience

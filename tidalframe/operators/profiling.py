@@ -77,8 +77,8 @@ def missing_by_group(df: DataFrame, groups: Sequence[str], cols: Sequence[str] |
 
 
 def years_per_site(df: DataFrame, site: str, year: str, more_than: int = 1) -> DataFrame:
-    """Sites observed in more than one year. Site and year pairs collapse before the shuffle."""
-    pairs = df.where(F.col(year).isNotNull()).select(site, year).distinct()
+    """Sites observed in more than one year; rows without a site are none. Site and year pairs collapse before the shuffle."""
+    pairs = df.where(F.col(year).isNotNull() & F.col(site).isNotNull()).select(site, year).distinct()
     return pairs.groupBy(site).agg(F.count(F.lit(1)).alias("n_years")).where(F.col("n_years") > more_than)
 
 

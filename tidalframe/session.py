@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,13 +31,14 @@ def build_session(app: str = "tidalframe", cores: str = "8", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: the cluster's ``spark.checkpoint.dir``, or a new local one when unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.sparkContext.getCheckpointDir()
+    """Folder all executors see: ``spark.checkpoint.dir``. A local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidalframe-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
