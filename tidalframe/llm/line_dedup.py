@@ -49,12 +49,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     place = F.struct("_id", "_hash", "pos")
     rows = rows.select("_id", "_hash", F.col("c.pos").alias("pos"), F.xxhash64("c.text").alias("chunk"), F.col("c.text").alias("chunk_text"))
     met = rows.groupBy("chunk").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high")
-    again = materialise(rows.join(met.select("chunk"), "chunk"), "lines-chunks")
+    # both tables that documents meet grow with them, so they are never broadcast: one plan at every size
+    again = materialise(rows.join(met.select("chunk").hint("merge"), "chunk"), "lines-chunks")
     # equal bytes, not only equal hashes
     first = again.groupBy("chunk", "chunk_text").agg(F.min(place).alias("first"))
     gone = again.join(first, ["chunk", "chunk_text"]).where(place != F.col("first"))
     gone = gone.groupBy("_id", "_hash").agg(F.collect_set("pos").alias("_gone"))
-    kept = df.withColumns(named).join(materialise(gone, "lines-gone"), ["_id", "_hash"], "left")
+    kept = df.withColumns(named).join(materialise(gone, "lines-gone").hint("merge"), ["_id", "_hash"], "left")
     kept = _chunks(kept, text_col, chunk_lines).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     lines = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0).cast("bigint"), lambda n, c: n + c["lines"]), F.lit(0).cast("bigint"))
     left = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["pos"]))
