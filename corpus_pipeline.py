@@ -15,7 +15,7 @@ from tidalframe.llm.line_dedup import line_dedup
 from tidalframe.llm.mixing import mix_sources
 from tidalframe.llm.quality import quality_classifier
 from tidalframe.llm.queries import trusted_ids
-from tidalframe.llm.simhash import simhash_dedup
+from tidalframe.llm.simhash_similar import similar_dedup
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. Shingles of five words; 3 of 64 bits stand for a similarity of 0.8 or more."""
-    return simhash_dedup(docs, shingle=5)
+    """One document of each group stays: shingles of five words, a similarity of 0.8 or more."""
+    return similar_dedup(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

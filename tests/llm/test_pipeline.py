@@ -3,9 +3,8 @@
 import corpus_pipeline
 import __spark_entry__ as contract
 from tests.llm.test_models import plain_quality
-from tests.llm.test_near import classes
 from tests.llm.test_rows import chunks, md5, plain_quantile
-from tidalframe.llm.simhash import fingerprint
+from tests.llm.test_similar import similar_brute
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,10 +23,9 @@ def test_run_equals_brute_force(spark):
     keep = {i for i, _, _, k in plain_quality([(i, lang, t) for i, lang, _, t in docs], trusted) if k}
     source = {i: s for i, _, s, _ in docs}
     rows = brute_lines([(i, t) for i, _, _, t in docs if i in keep])
-    prints = [fingerprint(t, 5) for _, t in rows]
-    order = sorted(range(len(rows)), key=lambda k: rows[k][0])
-    root = classes(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if ((prints[order[a]] ^ prints[order[b]]) & (1 << 64) - 1).bit_count() <= 3])
-    rows = [rows[order[k]] for k in range(len(rows)) if root[k] == k]
+    rows.sort(key=lambda r: r[0])
+    root = similar_brute([t for _, t in rows])
+    rows = [r for k, r in enumerate(rows) if root[k] == k]
     items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if not any(" ".join(q.split()) in " ".join(t.split()) for q in items)]
     sizes = {s: sum(source[i] == s for i, _ in rows) for s in {source[i] for i, _ in rows}}

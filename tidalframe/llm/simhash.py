@@ -129,7 +129,12 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with equal ids the one whose text has the least hash; of rows equal in id and text any one.
     """
     classes = _classes(df.select(id_col, text_col), id_col, text_col, shingle, max_bits)[1]
-    first = materialise(classes.select("first.id", "first.mark").distinct().withColumnsRenamed({"id": "_id", "mark": "_mark"}), "simhash-kept")
+    return keep_rows(df, classes.select("first.id", "first.mark").distinct(), id_col, text_col)
+
+
+def keep_rows(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` for every chosen (id, mark): the id with nulls last and the hash of the text."""
+    first = materialise(chosen.withColumnsRenamed({"id": "_id", "mark": "_mark"}), "simhash-kept")
     row = F.struct(*df.columns).alias("_row")
     marked = df.select(known_id(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_mark"), row)
     kept = marked.join(first, ["_id", "_mark"], "left_semi")
