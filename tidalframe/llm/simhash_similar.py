@@ -135,21 +135,28 @@ def similar_links(table: DataFrame, width: int, similarity: float = SIMILARITY,
     """Pairs (a, b) of nodes that share a key and pass the check.
 
     A bucket of up to ``bucket_rows`` members looks at all its pairs. In a larger one all members are compared with one
-    leader, and those that are not like it go on with a leader of their own, until the rest is small. So a group of near
-    copies of any size costs a row per member, and every member is linked to a leader, is one, or has met the whole rest.
+    leader; those that are not like it go on with more leaders a round, up to about ``bucket_rows``, until the rest is
+    small. So a group of near copies of any size costs a row per member, and every member is linked to a leader, is one,
+    or has met the whole rest.
     """
-    rows, found = similar_keys(table, width), []
+    rows, found, leaders = similar_keys(table, width), [], 1
     while True:
-        groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
-        rows = materialise(rows.join(groups, "key"), "similar-buckets")
-        small, large = rows.where(F.col("size") <= bucket_rows), rows.where((F.col("size") > bucket_rows) & (F.col("node") != F.col("leader")))
+        groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
+        leads = F.col("node") == F.col("least")
+        if leaders > 1:
+            leads = leads | (F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / leaders)) == 0)
+        rows = materialise(rows.join(groups, "key").withColumn("leads", leads), "similar-buckets")
+        small, large = rows.where(F.col("size") <= bucket_rows), rows.where(F.col("size") > bucket_rows)
         pairs = small.selectExpr("key", "node AS a").join(small.selectExpr("key", "node AS b"), "key").where("a < b").select("a", "b")
-        led = large.selectExpr("leader AS a", "node AS b")
-        links = materialise(_close(pairs.unionByName(led).distinct(), table, similarity), "similar-links")
+        led = large.where("leads").selectExpr("key", "node AS x").join(large.selectExpr("key", "node AS y"), "key").where("x != y")
+        led = led.selectExpr("key", "y AS node", "least(x, y) AS a", "greatest(x, y) AS b")
+        links = materialise(_close(pairs.unionByName(led.select("a", "b")).distinct(), table, similarity), "similar-links")
         found.append(links)
-        rows = large.join(links.selectExpr("a AS leader", "b AS node"), ["leader", "node"], "left_anti").select("node", "key")
+        done = led.join(links, ["a", "b"], "left_semi").select("key", "node").distinct()
+        rows = large.where("NOT leads").join(done, ["key", "node"], "left_anti").select("node", "key")
         if rows.isEmpty():
             return reduce(DataFrame.unionByName, found).distinct()
+        rows, leaders = materialise(rows, "similar-rest"), min(8 * leaders, max(bucket_rows, 1))
 
 
 def similar_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
