@@ -134,17 +134,17 @@ def _close(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
 def similar_links(table: DataFrame, width: int, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pairs (a, b) of nodes that share a key and pass the check.
 
-    A bucket of up to ``bucket_rows`` members looks at all its pairs. In a larger one all members are compared with one
-    leader; those that are not like it go on with more leaders a round, up to about ``bucket_rows``, until the rest is
-    small. So a group of near copies of any size costs a row per member, and every member is linked to a leader, is one,
+    A bucket of up to ``bucket_rows`` members looks at all its pairs. In a larger one all members are compared with
+    about eight leaders; those that are not like any go on with more leaders a round, up to about ``bucket_rows``, until
+    the rest is small. So a group of near copies of any size costs a few rows per member, and every member is linked to a leader, is one,
     or has met the whole rest.
     """
-    rows, found, leaders = similar_keys(table, width), [], 1
+    rows, found, leaders = similar_keys(table, width), [], 8
     while True:
         groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-        leads = F.col("node") == F.col("least")
-        if leaders > 1:
-            leads = leads | (F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / leaders)) == 0)
+        # powers of two: the leaders of a large bucket also lead in smaller ones, so buckets with the same members find the same pairs; every round draws anew
+        step = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / leaders, F.lit(1))))).cast("bigint")
+        leads = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(len(found))), step) == 0)
         rows = materialise(rows.join(groups, "key").withColumn("leads", leads), "similar-buckets")
         small, large = rows.where(F.col("size") <= bucket_rows), rows.where(F.col("size") > bucket_rows)
         pairs = small.selectExpr("key", "node AS a").join(small.selectExpr("key", "node AS b"), "key").where("a < b").select("a", "b")
@@ -153,10 +153,10 @@ def similar_links(table: DataFrame, width: int, similarity: float = SIMILARITY,
         links = materialise(_close(pairs.unionByName(led.select("a", "b")).distinct(), table, similarity), "similar-links")
         found.append(links)
         done = led.join(links, ["a", "b"], "left_semi").select("key", "node").distinct()
-        rows = large.where("NOT leads").join(done, ["key", "node"], "left_anti").select("node", "key")
+        rest = large.where("NOT leads").join(done, ["key", "node"], "left_anti").select("node", "key")
+        rows, leaders = materialise(rest, "similar-rest"), max(8, min(8 * leaders, bucket_rows))
         if rows.isEmpty():
             return reduce(DataFrame.unionByName, found).distinct()
-        rows, leaders = materialise(rows, "similar-rest"), min(8 * leaders, max(bucket_rows, 1))
 
 
 def similar_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
