@@ -112,6 +112,31 @@ def test_large_groups_go_by_leaders(spark, bucket_rows):
     assert similar_keys(table, width).groupBy("node").count().where(f"count <> {SEGMENTS * (WILDCARDS + 1)}").isEmpty()
 
 
+def edited(rng, words, changes, name):
+    """The words with changes far from each other, so that each change alters five shingles."""
+    copy = list(words)
+    for at in rng.sample(range(len(words) // 6), changes):
+        copy[6 * at + 3] = f"{name}at{at}"
+    return " ".join(copy)
+
+
+def test_star_of_edits_equals_all_pairs(spark):
+    """One page and 3,000 edits of it: each is like the page, few are like each other; no edit that meets the page is lost."""
+    rng = random.Random(9)
+    words = [f"p{k}" for k in range(400)]
+    texts = [" ".join(words)] + [edited(rng, words, 7, f"e{c}") for c in range(3000)]
+    same = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert same(texts[0], texts[1]) > 0.82 and same(texts[1], texts[2]) < 0.76
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    table = sketches(df, "doc_id", "text", 20).cache()
+    number = {r.node: r.id for r in table.select("id", "node").collect()}
+    keys = similar_keys(table, 20).join(table.select("node", "id"), "node")
+    met = {r.id for r in keys.join(keys.where("id = 0").select("key"), "key").select("id").distinct().collect()}
+    root = classes(len(texts), [(number[r.a], number[r.b]) for r in similar_links(table, 20, chunk_shingles=300_000).collect()])
+    # every edit that shares a key with the page is in its class
+    assert len(met) > 1500 and all(root[k] == 0 for k in met)
+
+
 def test_defined_results(spark):
     rows = [(5, None), (3, ""), (9, " \n"), (7, "A b"), (2, "a B"), (2, "a B"), (8, "É x y z " * 4000), (None, "alone in the world"), (4, "one"), (2, "two"), (1, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'c' AS id", "1 AS node", "2 AS n", "3 AS words", "4 AS key")

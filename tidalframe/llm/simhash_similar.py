@@ -3,6 +3,7 @@
 Three of 64 bits find only the closest copies. Here a text has ``SEGMENTS`` segments of 32 bits. Near copies nearly always
 have a segment that differs in one bit at most, and that bit nearly always lies among the ``WILDCARDS`` bits whose counts
 are nearest to a tie in both texts. So every segment gives one exact key and one key per wildcard on such a bit.
+A pair is linked if its fingerprints are as close as the similarity gives on average, or if its shingles have the similarity.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ SEGMENTS = 16
 BITS = 32 * SEGMENTS
 WORDS = BITS // 64
 WILDCARDS = 5
-# Buckets up to this size look at all their pairs, larger ones go by leaders.
+# Buckets up to this size make their pairs by a join, larger ones in pairs of chunks.
 BUCKET_ROWS = 64
+# Shingles of a chunk of a large bucket (8 bytes each): two chunks meet in one task.
+CHUNK_SHINGLES = 500_000
+# Pairs of texts with at least so many shingles must agree in bits before their shingles are compared, within so many
+# deviations of what the similarity gives.
+FILTER_SHINGLES = 64
+DEVIATIONS = 6
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -43,6 +50,12 @@ def max_bits(similarity: float) -> int:
     return int(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def filter_bits(similarity: float) -> int:
+    """Differing bits that a pair of this similarity practically never passes."""
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(BITS * part + DEVIATIONS * math.sqrt(BITS * part * (1 - part)))
+
+
 def shingle_hashes(text: str | None, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     """Hashes of the different word shingles, A-Z lower-cased; fewer words than a shingle are one shingle."""
     words = (text or "").encode().lower().split()
@@ -76,8 +89,8 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts.ravel()
 
 
-def sketch(text: str | None, width: int, shingle: int = SHINGLE_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """(number of different shingles, fingerprint as 64-bit words, wildcard bits of each segment) of a text.
+def sketch(text: str | None, width: int, shingle: int = SHINGLE_WORDS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of different shingles, fingerprint as 64-bit words, wildcard bits of each segment, shingle hashes) of a text.
 
     A bit is set if over half of the shingles set it; wildcards stand within the first ``width`` bits of a segment.
     """
@@ -85,30 +98,32 @@ def sketch(text: str | None, width: int, shingle: int = SHINGLE_WORDS) -> tuple[
     lean = 2 * bit_counts(hashes) - len(hashes)
     words = np.packbits(lean > 0, bitorder="little").view(np.int64)
     wild = np.argsort(np.abs(lean.reshape(SEGMENTS, 32)[:, :width]), axis=1, kind="stable")[:, :WILDCARDS]
-    return len(hashes), words, wild.astype(np.int8).ravel()
+    return len(hashes), words, wild.astype(np.int8).ravel(), hashes.view(np.int64)
 
 
-_SKETCH = "id bigint, node bigint, n bigint, words array<bigint>, wild array<tinyint>"
+_SKETCH = "id bigint, node bigint, n bigint, words array<bigint>, wild array<tinyint>, shingles array<bigint>"
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(rows[0])), pa.array(np.concatenate(rows)))
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            sizes, words, wild = zip(*(sketch(t.as_py(), width, shingle) for t in batch.column("text")))
-            columns = [batch.column("id"), batch.column("node"), pa.array(sizes, pa.int64()), _lists(words), _lists(wild)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "words", "wild"])
+        for at in range(0, batch.num_rows, 500):
+            piece = batch.slice(at, 500)
+            sizes, *lists = zip(*(sketch(t.as_py(), width, shingle) for t in piece.column("text")))
+            columns = [piece.column("id"), piece.column("node"), pa.array(sizes, pa.int64()), *map(_lists, lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "words", "wild", "shingles"])
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """Table (node, id, n, words, wild), one row per different text: ``node`` is a hash of the text, ``id`` its least id."""
+    """Table (node, id, n, words, wild, shingles), one row per different text: ``node`` is a hash of the text, ``id`` its least id."""
     text = F.col(text_col).cast("string")
     rows = df.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    every = rows.mapInArrow(partial(_sketches, width=width, shingle=shingle), _SKETCH)
-    return every.groupBy("node").agg(F.min("id").alias("id"), F.first(F.struct("n", "words", "wild")).alias("s")).select("node", "id", "s.*")
+    every = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    return every.mapInArrow(partial(_sketches, width=width, shingle=shingle), _SKETCH).select("node", "id", "n", "words", "wild", "shingles")
 
 
 def similar_keys(table: DataFrame, width: int) -> DataFrame:
@@ -124,39 +139,96 @@ def similar_keys(table: DataFrame, width: int) -> DataFrame:
 
 
 def _close(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose fingerprints and sizes agree with the similarity."""
+    """The pairs (a, b) with fingerprints within ``max_bits``, or shingles of this Jaccard similarity or more."""
     left, right = (table.selectExpr(f"node AS {end}", f"n AS {end}_n", f"words AS {end}_words") for end in "ab")
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.get("a_words", F.lit(k)).bitwiseXOR(F.get("b_words", F.lit(k)))) for k in range(WORDS)])
-    sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")
-    return pairs.join(left, "a").join(right, "b").where(sizes & (differ <= max_bits(similarity))).select("a", "b")
+    sizes = F.least("a_n", "b_n") + 1e-9 >= similarity * F.greatest("a_n", "b_n")
+    bits = (F.least("a_n", "b_n") < FILTER_SHINGLES) | (differ <= filter_bits(similarity))
+    near = materialise(pairs.join(left, "a").join(right, "b").where(sizes & bits).select("a", "b", (differ <= max_bits(similarity)).alias("sure")), "similar-near")
+    left, right = (table.selectExpr(f"node AS {end}", f"shingles AS {end}_shingles") for end in "ab")
+    both = near.where("NOT sure").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_shingles", "b_shingles")))
+    both = both.where(F.col("common") + 1e-9 >= similarity * (F.size("a_shingles") + F.size("b_shingles") - F.col("common")))
+    return near.where("sure").select("a", "b").unionByName(both.select("a", "b"))
+
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def similar_links(table: DataFrame, width: int, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Pairs (a, b) of nodes that share a key and pass the check.
 
-    A bucket of up to ``bucket_rows`` members looks at all its pairs. In a larger one all members are compared with
-    about eight leaders; those that are not like any go on with more leaders a round, up to about ``bucket_rows``, until
-    the rest is small. So a group of near copies of any size costs a few rows per member, and every member is linked to a leader, is one,
-    or has met the whole rest.
+def _chunk_links(table: pa.Table, similarity: float) -> pa.Table:
+    """Links that join what is connected by pairs of a chunk, or of two: every member reached meets all not yet reached.
+
+    Members of a class are connected already.
+    """
+    table = table.combine_chunks()
+    node, of, side = (table.column(c).to_numpy() for c in ("node", "class", "chunk"))
+    lists, prints = (pa.concat_arrays(table.column(c).chunks) for c in ("shingles", "words"))
+    words = prints.flatten().to_numpy().view(np.uint64).reshape(len(node), WORDS)
+    ends = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
+    ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    n, limit, one = np.diff(ends), filter_bits(similarity), (side == side[0]).all()
+    mark, waiting, out = np.zeros(len(ids), bool), np.ones(len(node), bool), []
+    for seed in range(len(node)):
+        queue = np.flatnonzero(waiting & (of == of[seed])).tolist() if waiting[seed] else []
+        waiting[queue] = False
+        while queue:
+            x = queue.pop()
+            rest = np.flatnonzero(waiting if one else waiting & (side != side[x]))
+            rest = rest[np.minimum(n[rest], n[x]) + 1e-9 >= similarity * np.maximum(n[rest], n[x])]
+            differ = np.bitwise_count(words[rest] ^ words[x]).sum(axis=1)
+            near = (np.minimum(n[rest], n[x]) < FILTER_SHINGLES) | (differ <= limit)
+            mark[ids[ends[x] : ends[x + 1]]] = True
+            for y, sure in zip(rest[near].tolist(), (differ[near] <= max_bits(similarity)).tolist()):
+                if not waiting[y]:
+                    continue
+                common = np.count_nonzero(mark[ids[ends[y] : ends[y + 1]]])
+                if sure or common + 1e-9 >= similarity * (n[x] + n[y] - common):
+                    out.append((int(node[x]), int(node[y])))
+                    more = np.flatnonzero(waiting & (of == of[y])).tolist()
+                    waiting[more] = False
+                    queue += more
+            mark[ids[ends[x] : ends[x + 1]]] = False
+    return pa.Table.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=_LINKS)
+
+
+def _large_links(rows: DataFrame, table: DataFrame, similarity: float, chunk_shingles: int) -> DataFrame:
+    """Links between the classes of each large bucket: all pairs of its chunks, each in a group of two chunks at most."""
+    rows = rows.join(table.select("node", "n", "words", "shingles"), "node")
+    counts = rows.groupBy("key").agg(F.ceil(F.sum(F.col("n") + 1) / chunk_shingles).alias("chunks"))
+    rows = rows.join(counts, "key").withColumn("chunk", F.expr("pmod(xxhash64(node, key), chunks)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "class", "chunk", "words", "shingles")
+
+    def links(group: pa.Table) -> pa.Table:
+        return _chunk_links(group, similarity)
+
+    return rows.groupBy("key", "i", "j").applyInArrow(links, "a bigint, b bigint")
+
+
+def similar_links(table: DataFrame, width: int, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """Links (a, b) that connect what all pairs of nodes connect that share a key and have the similarity.
+
+    First every bucket compares its members with its least one, so near copies cost a row each and not all their pairs.
+    Then members that are not connected so far meet in every bucket, those of up to ``bucket_rows`` members in a join
+    and larger ones chunk by chunk: no pair of a bucket stays unseen unless its ends are connected anyway.
     """
-    rows, found, leaders = similar_keys(table, width), [], 8
-    while True:
-        groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-        # powers of two: the leaders of a large bucket also lead in smaller ones, so buckets with the same members find the same pairs; every round draws anew
-        step = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / leaders, F.lit(1))))).cast("bigint")
-        leads = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(len(found))), step) == 0)
-        rows = materialise(rows.join(groups, "key").withColumn("leads", leads), "similar-buckets")
-        small, large = rows.where(F.col("size") <= bucket_rows), rows.where(F.col("size") > bucket_rows)
-        pairs = small.selectExpr("key", "node AS a").join(small.selectExpr("key", "node AS b"), "key").where("a < b").select("a", "b")
-        led = large.where("leads").selectExpr("key", "node AS x").join(large.selectExpr("key", "node AS y"), "key").where("x != y")
-        led = led.selectExpr("key", "y AS node", "least(x, y) AS a", "greatest(x, y) AS b")
-        links = materialise(_close(pairs.unionByName(led.select("a", "b")).distinct(), table, similarity), "similar-links")
-        found.append(links)
-        done = led.join(links, ["a", "b"], "left_semi").select("key", "node").distinct()
-        rest = large.where("NOT leads").join(done, ["key", "node"], "left_anti").select("node", "key")
-        rows, leaders = materialise(rest, "similar-rest"), max(8, min(8 * leaders, bucket_rows))
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, found).distinct()
+    keys = similar_keys(table, width)
+    groups = keys.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
+    ).where("size > 1")
+    # of buckets with the same members one is enough
+    groups = groups.groupBy("size", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "size", "least")
+    rows = materialise(keys.join(groups, "key"), "similar-buckets")
+    met = rows.where("node <> least").selectExpr("least AS a", "node AS b").distinct()
+    links = materialise(_close(met, table, similarity), "similar-links")
+    linked = components(links, "a", "b", "similar-first")
+    rows = rows.where("size > 2").join(linked, "node", "left").select("key", "node", "size", "least", F.coalesce("component", "node").alias("class"))
+    several = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
+    rows = materialise(rows.join(several, "key", "left_semi"), "similar-open")
+    small = rows.where(F.col("size") <= bucket_rows).where("node <> least")
+    a, b = (small.selectExpr("key", f"node AS {end}", f"class AS {end}_class") for end in "ab")
+    pairs = a.join(b, "key").where("a < b AND a_class <> b_class").select("a", "b").distinct()
+    more = _close(pairs, table, similarity).unionByName(_large_links(rows.where(F.col("size") > bucket_rows), table, similarity, chunk_shingles))
+    return links.unionByName(materialise(more, "similar-links")).distinct()
 
 
 def similar_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
