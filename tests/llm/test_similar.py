@@ -121,7 +121,7 @@ def edited(rng, words, changes, name):
 
 
 def test_star_of_edits_equals_all_pairs(spark):
-    """One page and 3,000 edits of it: each is like the page, few are like each other; no edit that meets the page is lost."""
+    """One page and 3,000 edits of it: each is like the page, few are like each other; no edit is lost."""
     rng = random.Random(9)
     words = [f"p{k}" for k in range(400)]
     texts = [" ".join(words)] + [edited(rng, words, 7, f"e{c}") for c in range(3000)]
@@ -130,11 +130,24 @@ def test_star_of_edits_equals_all_pairs(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
     table = sketches(df, "doc_id", "text", 20).cache()
     number = {r.node: r.id for r in table.select("id", "node").collect()}
-    keys = similar_keys(table, 20).join(table.select("node", "id"), "node")
-    met = {r.id for r in keys.join(keys.where("id = 0").select("key"), "key").select("id").distinct().collect()}
     root = classes(len(texts), [(number[r.a], number[r.b]) for r in similar_links(table, 20, chunk_shingles=300_000).collect()])
-    # every edit that shares a key with the page is in its class
-    assert len(met) > 1500 and all(root[k] == 0 for k in met)
+    assert root == [0] * 3001
+
+
+@pytest.mark.parametrize("width", [18, 27, 32])
+def test_similarity_of_0_8_is_found_at_every_width(spark, width):
+    """Pairs with a true shingle similarity of 0.8 or more, and as many below, with the keys of tables of any size."""
+    rng, rows, true = random.Random(3), [], []
+    for base in range(300):
+        words = [f"b{base}x{k}" for k in range(404)]
+        a, b = " ".join(words), edited(rng, words, 1 + base % 14, "e")
+        rows += [(2 * base, a), (2 * base + 1, b)]
+        true.append(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)))
+    table = sketches(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", width).cache()
+    number = {r.node: r.id for r in table.collect()}
+    found = {tuple(sorted((number[r.a], number[r.b]))) for r in similar_links(table, width).collect()}
+    assert all((2 * k, 2 * k + 1) in found for k in range(300) if true[k] >= 0.8) and sum(0.8 <= t < 0.83 for t in true) > 15
+    assert not any((2 * k, 2 * k + 1) in found for k in range(300) if true[k] < 0.7) and all(a // 2 == b // 2 for a, b in found)
 
 
 def test_defined_results(spark):

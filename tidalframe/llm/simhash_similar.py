@@ -3,6 +3,8 @@
 Three of 64 bits find only the closest copies. Here a text has ``SEGMENTS`` segments of 32 bits. Near copies nearly always
 have a segment that differs in one bit at most, and that bit nearly always lies among the ``WILDCARDS`` bits whose counts
 are nearest to a tie in both texts. So every segment gives one exact key and one key per wildcard on such a bit.
+These keys grow with the table, and longer ones find fewer pairs. So a text also has ``BANDS`` keys of ``BAND_ROWS`` least
+shingle hashes each, which depend on the text alone: a pair at 0.8 shares one with a chance above 0.9999 in a table of any size.
 A pair is linked if its fingerprints are as close as the similarity gives on average, or if its shingles have the similarity.
 """
 
@@ -28,6 +30,9 @@ SEGMENTS = 16
 BITS = 32 * SEGMENTS
 WORDS = BITS // 64
 WILDCARDS = 5
+# Keys of least hashes: a pair of similarity s misses all with a chance of (1 - s ** BAND_ROWS) ** BANDS, 0.00007 at 0.8.
+BANDS = 24
+BAND_ROWS = 5
 # Buckets up to this size make their pairs by a join, larger ones in pairs of chunks.
 BUCKET_ROWS = 64
 # Shingles of a chunk of a large bucket (8 bytes each): two chunks meet in one task.
@@ -89,8 +94,22 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts.ravel()
 
 
-def sketch(text: str | None, width: int, shingle: int = SHINGLE_WORDS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of different shingles, fingerprint as 64-bit words, wildcard bits of each segment, shingle hashes) of a text.
+_FACTORS = _spread(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key of each band: a hash of ``BAND_ROWS`` least values, each under an order of the shingles of its own."""
+    least = np.full(BANDS * BAND_ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 2048):
+        least = np.minimum(least, (hashes[at : at + 2048, None] * _FACTORS).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = _spread(keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return keys.view(np.int64)
+
+
+def sketch(text: str | None, width: int, shingle: int = SHINGLE_WORDS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of different shingles, fingerprint as 64-bit words, wildcard bits of each segment, shingle hashes, band keys) of a text.
 
     A bit is set if over half of the shingles set it; wildcards stand within the first ``width`` bits of a segment.
     """
@@ -98,10 +117,10 @@ def sketch(text: str | None, width: int, shingle: int = SHINGLE_WORDS) -> tuple[
     lean = 2 * bit_counts(hashes) - len(hashes)
     words = np.packbits(lean > 0, bitorder="little").view(np.int64)
     wild = np.argsort(np.abs(lean.reshape(SEGMENTS, 32)[:, :width]), axis=1, kind="stable")[:, :WILDCARDS]
-    return len(hashes), words, wild.astype(np.int8).ravel(), hashes.view(np.int64)
+    return len(hashes), words, wild.astype(np.int8).ravel(), hashes.view(np.int64), band_keys(hashes)
 
 
-_SKETCH = "id bigint, node bigint, n bigint, words array<bigint>, wild array<tinyint>, shingles array<bigint>"
+_SKETCH = "id bigint, node bigint, n bigint, words array<bigint>, wild array<tinyint>, shingles array<bigint>, bands array<bigint>"
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -115,15 +134,15 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, shingle: int) -> It
             piece = batch.slice(at, 500)
             sizes, *lists = zip(*(sketch(t.as_py(), width, shingle) for t in piece.column("text")))
             columns = [piece.column("id"), piece.column("node"), pa.array(sizes, pa.int64()), *map(_lists, lists)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "words", "wild", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "words", "wild", "shingles", "bands"])
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """Table (node, id, n, words, wild, shingles), one row per different text: ``node`` is a hash of the text, ``id`` its least id."""
+    """Table (node, id, n, words, wild, shingles, bands), one row per different text: ``node`` is a hash of the text, ``id`` its least id."""
     text = F.col(text_col).cast("string")
     rows = df.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     every = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    return every.mapInArrow(partial(_sketches, width=width, shingle=shingle), _SKETCH).select("node", "id", "n", "words", "wild", "shingles")
+    return every.mapInArrow(partial(_sketches, width=width, shingle=shingle), _SKETCH).select("node", "id", "n", "words", "wild", "shingles", "bands")
 
 
 def similar_keys(table: DataFrame, width: int) -> DataFrame:
@@ -211,7 +230,7 @@ def similar_links(table: DataFrame, width: int, similarity: float = SIMILARITY,
     Then members that are not connected so far meet in every bucket, those of up to ``bucket_rows`` members in a join
     and larger ones chunk by chunk: no pair of a bucket stays unseen unless its ends are connected anyway.
     """
-    keys = similar_keys(table, width)
+    keys = similar_keys(table, width).unionByName(table.select("node", F.explode("bands").alias("key")))
     groups = keys.groupBy("key").agg(
         F.count("*").alias("size"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
     ).where("size > 1")
