@@ -137,6 +137,22 @@ def test_decontamination(spark):
     assert contamination(docs.where("false"), bench).count() == 0 and decontaminate(docs, bench.where("false")).count() == len(rows)
 
 
+def test_decontamination_finds_copies_of_items_full_of_slots(spark):
+    """Items of numbers, names, units or capitals are found word for word, in any case, and not with other values."""
+    items = [
+        "37 * 12 * 4 / 9 = ?", "Then Anna Bob Carl Dora Emil Fritz Gina Hans Ida Jan Karl Lena", "5 km 7 kg 9 miles 12 litres 3 hours 8 days 40 watts",
+        "HOW MANY WHEELS HAVE SEVEN CARS AND NINE BICYCLES TOGETHER IN A ROW", "42 7",
+    ]
+    pad = "some other words stand here in front of it. " * 20
+    rows = [(k, f"{pad} {t} {pad}") for k, t in enumerate(items)] + [(10 + k, f"{pad} {t.lower()} {pad}") for k, t in enumerate(items)]
+    rows += [(20, pad + items[0].replace("12", "13")), (22, pad + items[2].replace("7", "6").replace("3", "2")), (23, pad), (24, "42 8 7")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    for limit in (0, 1000):
+        found = {(r.id, r.item_id): r.changed for r in contamination(docs, bench, broadcast_windows=limit).collect()}
+        assert found == {(d + k, k): False for d in (0, 10) for k in range(len(items))}
+
+
 def test_decontamination_query_finds_what_is_there(spark):
     """Every item that stands in a text word for word, and nothing in texts that share no ten words with one."""
     plain = lambda t: re.sub(r"[^\w ]", "", " ".join((t or "").lower().split()))

@@ -96,6 +96,7 @@ class Template:
         keep = np.flatnonzero(~again)
         stop = np.append(keep[1:], len(kind))
         self.slot = kind[keep] != _WORD
+        self.exact, self.plain = hashes, kind == _WORD
         self.hashes = hashes[keep]
         for k, h in _SLOT_HASH.items():
             self.hashes[kind[keep] == k] = h
@@ -112,6 +113,19 @@ class Template:
         starts = np.flatnonzero(length - (slots[length:] - slots[:-length]) >= LEAST_WORDS * length)
         return starts, rolling(self.hashes, length)[starts]
 
+    def slotted(self, window: int) -> bool:
+        """Whether a window has not enough words, with neighbouring names as one name or as they stand."""
+        length, size = min(window, len(self.hashes)), min(window, len(self.plain))
+        words = np.cumsum(np.concatenate(([0], self.plain)))
+        return len(self.windows(length)[0]) < len(self.hashes) - length + 1 or bool((words[size:] - words[: len(words) - size] < LEAST_WORDS * size).any())
+
+    def exact_windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all windows of the words as they stand, lower-cased, whatever their kind."""
+        return np.arange(max(0, len(self.exact) - length + 1)), rolling(self.exact, length) if len(self.exact) >= length else np.zeros(0, np.uint64)
+
+    def exact_text(self, start: int, length: int) -> str:
+        return " ".join(_EDGES.sub("", self._words[j]).lower() for j in self._real[start : start + length])
+
     def text(self, start: int, length: int) -> str:
         return " ".join(_SLOTS[self.kind[i]] if self.slot[i] else self.value(i) for i in range(start, start + length))
 
@@ -126,21 +140,28 @@ _WINDOWS_DDL = "id bigint, mark bigint, pos bigint, length int, total bigint, ha
 
 
 def _windows(batches: Iterator[pa.RecordBatch], lengths: list[int] | None, window: int, known) -> Iterator[pa.RecordBatch]:
-    """Template windows of every row: of all ``lengths``, or for None of ``window``, and shorter texts as one window."""
+    """Template windows of every row: of all ``lengths``, or for None of ``window``, and shorter texts as one window.
+
+    A negative length is that of windows of the words as they stand; for None they follow where a template window has not enough words.
+    """
     memory: dict = {}
     hashes = known.value if known is not None else None
     for batch in batches:
         rows = []
         for i, mark, text in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text")):
             t = Template(text.as_py(), memory)
-            for length in lengths if lengths is not None else [min(window, len(t.hashes))]:
-                starts, found = t.windows(length) if length else ((), ())
+            own = [min(window, len(t.hashes))] if lengths is None else lengths
+            if lengths is None and own[0] and t.slotted(window):
+                own = [*own, -min(window, len(t.exact))]
+            for length in own:
+                starts, found = t.windows(length) if length > 0 else t.exact_windows(-length) if length else ((), ())
                 total = len(starts)
                 if hashes is not None and total:
                     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                     starts, found = starts[hashes[at] == found], found[hashes[at] == found]
                 for s, h in zip(starts, found):
-                    rows.append((i, mark, int(s), length, total, int(np.int64(np.uint64(h).view(np.int64))), t.text(s, length), t.values(s, length)))
+                    shown = (t.text(s, length), t.values(s, length)) if length > 0 else (t.exact_text(s, -length), [])
+                    rows.append((i, mark, int(s), length, total, int(np.int64(np.uint64(h).view(np.int64))), *shown))
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WINDOWS)], schema=_WINDOWS)
                 rows = []
@@ -162,7 +183,8 @@ def contamination(
     ``windows`` of the ``item_windows`` windows of the item are in the document in line with each other, their slots
     filled consistently (equal fillings of the item are equal in the document); ``changed`` says whether a filling
     differs. An item counts as found at half its windows, or at ``ENOUGH_WINDOWS``. Items shorter than the window are one
-    window; items without a word of their own and null texts match nothing. ``mark`` is a hash of the text, so rows with equal ids
+    window. An item with a window of too few words of its own (numbers, lists of names, capitals) is also looked for word by word,
+    without slots and in any case, by the same count over all its windows; null texts and texts without a word match nothing. ``mark`` is a hash of the text, so rows with equal ids
     stay apart. Null ids are the largest whole number. Other columns are ignored; empty tables give an empty result.
     """
     spark = df.sparkSession
@@ -176,7 +198,7 @@ def contamination(
     windows = _rows(df, id_col, text_col).mapInArrow(partial(_windows, lengths=lengths if hashes else [], window=window, known=known), _WINDOWS_DDL)
     met = windows.drop("total").join(items, ["hash", "length", "template"])
     met = met.withColumns({"line": F.col("pos") - F.col("item_pos"), "filled": F.zip_with("item_slots", "slots", lambda was, now: F.struct(was.alias("was"), now.alias("now")))})
-    lined = met.groupBy("id", "mark", "item_id", "item_mark", "item_windows", "line").agg(
+    lined = met.groupBy("id", "mark", "item_id", "item_mark", "item_windows", (F.col("length") < 0).alias("exact"), "line").agg(
         F.count_distinct("item_pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"),
     )
     lined = lined.where(F.size(F.array_distinct("filled.was")) == F.size("filled"))
