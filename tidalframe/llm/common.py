@@ -29,3 +29,15 @@ def partitions(spark: SparkSession) -> int:
 def known_id(column: str) -> Column:
     """The id as a whole number; null ids come last in every order."""
     return F.coalesce(F.col(column).cast("bigint"), F.lit(NULL_ID))
+
+
+# DuckDB's SQL has no CRC-32: the table of its 256 byte steps.
+CRC32_SQL = """bits AS (SELECT range AS b, range::BIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII string, over ``crc_table``'s t."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.llm.common import documents
-from tidalframe.llm import line_dedup, mixing, url_filter
+from tidalframe.llm import line_dedup, merkle, mixing, periodic_runs, secret_scan, url_filter
 from tidalframe.llm.decontamination import contamination
 from tidalframe.llm.embedding_dedup import embedding_classes
 from tidalframe.llm.language_id import train
@@ -99,3 +99,36 @@ def language_query(spark: SparkSession, folder: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     model = train(docs.where("NOT held_out"))
     return model.predict(docs.select("doc_id", "held_out", "text")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@register("op11_periodic_runs", periodic_runs.ORACLE)
+def periodic_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document, a tenth of which is made to go on periodically, and the words that are left."""
+    out = periodic_runs.periodic_runs(periodic_runs.with_repeats(documents(spark, folder)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    out = out.select("*", F.size("runs").cast("bigint").alias("n_runs"), (-best["start"]).alias("start"), best["length"].alias("length"), (-best["period"]).alias("period"))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    return out.select(
+        F.col("id").alias("doc_id"), "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(said.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@register("op13_merkle_manifest", merkle.ORACLE)
+def merkle_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Proof of every document, and whether the document as it is claimed, some with another length, still leads to the root."""
+    changed = [F.col(c) if c != "n_chars" else F.col(c).cast("decimal(20,0)") + 1 for c in merkle.MANIFEST]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = merkle.merkle_manifest(documents(spark, folder), merkle.MANIFEST, claims={"changed": F.when(tampered, merkle.leaf_digest(changed))})
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", F.expr("folded_root = root").alias("verified"))
+
+
+@register("op12_secret_scan", secret_scan.ORACLE)
+def secret_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets: those of the base patterns, counted and hashed, and all with what the entropy windows add."""
+    out = secret_scan.secret_scan(documents(spark, folder).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    said = secret_scan.spans_text
+    return out.select("doc_id", *map(count, secret_scan.BASE_KINDS), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
