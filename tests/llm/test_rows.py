@@ -5,12 +5,14 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 
 from tidalframe.llm.decontamination import contamination, decontaminate
 from tidalframe.llm.line_dedup import line_dedup
 from tidalframe.llm.mixing import mix_sources
 from tidalframe.llm.queries import QUERIES
+from tidalframe.llm.url_filter import ORACLE as url_filter_sql
 from tidalframe.llm.url_filter import HostRule, PatternRule, url_filter
 
 SMALL = "/root/testdata/sf0.001"
@@ -62,7 +64,7 @@ def test_lines(spark):
 def test_urls(spark):
     rows = [
         (1, "https://a.example.net/en/1"), (2, "http://example.net/de/1"), (3, "http://EXAMPLE.com/de/"), (4, "http://x.org/fr/a"), (5, "http://x.org/FR/a"), (6, None), (7, ""), (8, "no scheme.net/"),
-        (9, "http://x.net"), (10, "http://x.net?q"), (11, "http://notexample.com/de/"), (12, "http://spam-farm.example.org/en"), (13, "http://myspam-farm.example.org/en"), (14, "http://a.org/x?u=spam-farm"),
+        (9, "http://x.net"), (10, "http://x.net?q"), (11, "http://notexample.com/de/"), (12, "http://spam-farm.example.org/en"), (21, "http://x.org/spam-farm"), (22, "http://x.org/a/spam-farm?b"), (13, "http://myspam-farm.example.org/en"), (14, "http://a.org/x?u=spam-farm"),
         (15, "http://net/"), (16, "http://x.org/?sessionid=0123456789abcdef00"), (17, "x" * 50000 + "://a.net/" + "y" * 50000), (18, "http://a.net:80/"), (19, "http://fr.org/fr/://b.net/"), (20, "HTTP://A.Net/#f"), (None, "http://b.net/"), (20, "HTTP://A.Net/#f"),
     ]
     df = spark.createDataFrame(rows, "page_id bigint, url string").selectExpr("*", "'h' AS host", "'t' AS token", "1 AS rule_id")
@@ -80,6 +82,11 @@ def test_urls(spark):
 
     got = {(r.page_id, r.url): (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
     assert got == {(i, u): judge(u) for i, u in rows} and out.count() == len(rows)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?)", [list(r) for r in rows])
+    names = [c[0] for c in db.execute(url_filter_sql).description]
+    assert {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in (dict(zip(names, x)) for x in db.execute(url_filter_sql).fetchall())} == {(i, *judge(u)) for i, u in rows}
     assert url_filter(df.where("false")).count() == 0
     custom = url_filter(df, host_rules=[HostRule("block", "x.org", "/f")], pattern_rules=[PatternRule("allow", "any", "x", ("x",))])
     assert {r.page_id for r in custom.where("verdict = 'block'").collect()} == {4}

@@ -105,7 +105,7 @@ def url_filter(df: DataFrame, url_col: str = "url", host_rules=HOST_RULES, patte
 
 
 _PATTERNS_SQL = " OR ".join(
-    [rf"regexp_matches(low, '://[^?#]*([^a-z0-9?#]){r.name}([^a-z0-9]|$)')" for r in PATTERN_RULES[:-1]] + [r"regexp_matches(low, '[?&]sessionid=[0-9a-f]{16,}')"]
+    [rf"regexp_matches(low, '://([^?#]*[^a-z0-9?#])?{r.name}([^a-z0-9]|$)')" for r in PATTERN_RULES[:-1]] + [r"regexp_matches(low, '[?&]sessionid=[0-9a-f]{16,}')"]
 )
 ORACLE = f"""
 WITH p AS (
