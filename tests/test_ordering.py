@@ -101,3 +101,34 @@ def test_bucket_is_monotone(spark):
 def test_no_single_partition_sort_of_data(table):
     plan = ordering.average_rank(table, "x")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("kind", ["uniform", "ties", "skewed", "few"])
+def test_sketch_and_refine_equals_exact_order(spark, kind):
+    rng = np.random.default_rng(3)
+    n = 9 if kind == "few" else 60_000
+    x = {"uniform": rng.random(n), "ties": rng.integers(0, 7, n).astype(float), "skewed": np.where(rng.random(n) < 0.4, 0.0, rng.exponential(size=n) ** 9), "few": rng.random(n)}[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": -x})).selectExpr("IF(rand(1) < 0.0, NULL, x) AS x", "y", "CAST(NULL AS DOUBLE) AS z").repartition(7)
+    wanted = (0.0, 0.001, 0.25, 0.5, 0.501, 0.75, 1.0)
+    got = {r["stat"]: [r[f"p{i}"] for i in range(len(wanted))] for r in ordering.exact_percentiles(df, ["x", "y", "z"], wanted).collect()}
+    assert set(got) == {"x", "y"}
+    assert got["x"] == pytest.approx(np.quantile(x, wanted), rel=1e-12) and got["y"] == pytest.approx(np.quantile(-x, wanted), rel=1e-12)
+
+
+def test_percentiles_order_few_values_and_read_the_source_twice(spark, tmp_path):
+    path = str(tmp_path / "x")
+    spark.range(200_000).selectExpr("(id * 7919) % 200003 / 3.0 AS x").write.parquet(path)
+    df = spark.read.parquet(path)
+    sketch = df.agg(ordering.percentile_sketch("x", (0.25, 0.5, 0.75))).first()[0]
+    refine = ordering.percentiles_between(df, {"x": sketch}, (0.25, 0.5, 0.75))
+    low, high = zip(*ordering._intervals(sketch))
+    assert df.where(" OR ".join(f"x BETWEEN {a} AND {b}" for a, b in zip(low, high))).count() < 0.01 * 200_000
+    assert len(refine.collect()) == 1
+    final = refine._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final  # one more pass was the sketch
+
+
+def test_a_wrong_sketch_is_never_a_wrong_result(spark):
+    df = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS x")
+    with pytest.raises(Exception, match="sketch"):
+        ordering.percentiles_between(df, {"x": (100_000, [10.0, 20.0] * 5)}, (0.5,)).collect()

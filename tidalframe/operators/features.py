@@ -71,17 +71,17 @@ def one_hot(
 
 
 def fit_preprocessor(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str] = (), out: str = "features",
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str] | None = (), out: str = "features",
     quartiles: Quartiles | None = None,
 ) -> PipelineModel:
-    """Impute and scale numbers, one-hot encode categories, drop the rest except ``keep``.
+    """Impute and scale numbers, one-hot encode categories, drop the rest except ``keep`` (None keeps all columns).
 
     The result is a plain ML pipeline model, so it can be saved, loaded and put before a classifier.
     Fitted numbers are literals of its first stage. ``df`` is the table to fit on: the training part,
     or all rows when training and test parts share one fit.
     """
     q = quartiles or fit_quartiles(df, numeric)
-    parts = [f"`{c}`" for c in keep]
+    parts = ["*"] if keep is None else [f"`{c}`" for c in keep]
     for c in numeric:
         q1, median, q3 = q[c]
         if median is None:
@@ -103,7 +103,8 @@ def fit_preprocessor(
         ]
     assembled = [f"num_{c}" for c in numeric] + [f"oh_{c}" for c in categorical]
     stages.append(VectorAssembler(inputCols=assembled, outputCol=out))
-    last = ", ".join([*[f"`{c}`" for c in keep], f"`{out}`"])
+    made = [*[f"num_{c}" for c in numeric], *[f"{p}_{c}" for c in categorical for p in ("cat", "ix", "oh")]]
+    last = f"* EXCEPT ({', '.join(f'`{c}`' for c in made)})" if keep is None else ", ".join([*[f"`{c}`" for c in keep], f"`{out}`"])
     stages.append(SQLTransformer(statement=f"SELECT {last} FROM __THIS__"))
     return Pipeline(stages=stages).fit(df)
 

@@ -116,15 +116,69 @@ def average_rank(df: DataFrame, col: str, out: str = "rank", buckets: int | None
     return df.join(ranks, F.col(col).cast("double") == F.col("_v"), "left").drop("_v")
 
 
-def exact_percentiles(
-    df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], buckets: int | None = None
+# Relative rank error of the sketches that exact percentiles start from.
+SKETCH_ERROR = 1e-4
+
+
+# How far around a percentile a sketch is read: four errors, and more where the last of them is less than two rows.
+_REACHES = (4 * SKETCH_ERROR, 0.003, 0.03, 0.3, 1.0)
+
+Sketch = tuple[int, Sequence[float] | None]
+
+
+def percentile_sketch(col: str, probabilities: Sequence[float]) -> Column:
+    """Struct (n, edges): the count of known values, and per percentile the values at its sides, by reach."""
+    v = F.col(col).cast("double")
+    sides = [min(max(q + side, 0.0), 1.0) for q in probabilities for reach in _REACHES for side in (-reach, reach)]
+    return F.struct(F.count(v).alias("n"), F.percentile_approx(v, sides, round(1 / SKETCH_ERROR)).alias("edges"))
+
+
+def _intervals(sketch: Sketch) -> list[tuple[float, float]]:
+    """Disjoint ascending intervals that hold the rows next to each percentile."""
+    n, edges = sketch
+    if not n:
+        return []
+    wide = next(i for i, reach in enumerate(_REACHES) if reach >= 3 * SKETCH_ERROR + 2 / n or reach == 1.0)
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted((edges[i], edges[i + 1]) for i in range(2 * wide, len(edges), 2 * len(_REACHES))):
+        if merged and low <= merged[-1][1]:
+            low, high = merged[-1][0], max(high, merged.pop()[1])
+        merged.append((low, high))
+    return merged
+
+
+def percentiles_between(
+    df: DataFrame, sketches: Mapping[str, Sketch], probabilities: Sequence[float], buckets: int | None = None
 ) -> DataFrame:
-    """(stat, n, p0, p1, ...): linear-interpolated percentiles of every column."""
-    placed = ranked_values(df, cols, buckets).withColumnRenamed("n_total", "total")
+    """(stat, n, p0, p1, ...) by one pass that counts every value but keeps apart only those between the sketched ones.
+
+    A value outside all intervals counts as the nearest end of one, so a few values in ten thousand are grouped and ordered.
+    Should a sketch have been too far off, its percentile lies among counted-only values and the query fails rather than err.
+    """
+    k = buckets or default_buckets(df.sparkSession)
+    intervals = {c: _intervals(s) for c, s in sketches.items()}
+    entries = []
+    for c, parts in intervals.items():
+        v = F.col(c).cast("double")
+        near, below = v, None
+        if parts:
+            near = F.when(v < parts[0][0], F.lit(parts[0][0]))
+            for low, high in parts:
+                if below is not None:
+                    near = near.when(v < low, F.lit(below))
+                near, below = near.when(v <= high, v), high
+            near = near.when(v.isNotNull(), F.lit(below))
+        entries.append(F.struct(F.lit(c).alias("stat"), near.alias("v"), (v < near).cast("int").alias("under"), (v > near).cast("int").alias("over")))
+    long = df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
+    bounds = {c: [b for low, high in parts for b in np.linspace(low, high, max(2, k // len(parts)), endpoint=False).tolist()] if parts else [] for c, parts in intervals.items()}
+    bounds = {c: sorted({b for b in found if np.isfinite(b)}) for c, found in bounds.items()}
+    weights = {"n": F.count(F.lit(1)), "under": F.sum("under"), "over": F.sum("over")}
+    placed = cumulative_counts(long, bounds, weights).withColumnRenamed("n_total", "total")
 
     def at(position: Column) -> Column:
-        inside = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, F.col("v")))
+        first, behind = F.col("n_before") + F.col("under"), F.col("n_before") + F.col("n") - F.col("over")
+        found = F.max(F.when((first <= position) & (position < behind), F.col("v")))
+        return F.coalesce(found, F.raise_error(F.lit("a quantile sketch was off by more than its error")).cast("double"))
 
     picks = []
     for i, q in enumerate(probabilities):
@@ -142,6 +196,14 @@ def exact_percentiles(
     return found.select("stat", "n", *values)
 
 
+def exact_percentiles(
+    df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], buckets: int | None = None
+) -> DataFrame:
+    """(stat, n, p0, p1, ...): linear-interpolated percentiles of every column, in two passes: sketch, then refine."""
+    row = df.agg(*[percentile_sketch(c, probabilities).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    return percentiles_between(df, {c: row[i] for i, c in enumerate(cols)}, probabilities, buckets)
+
+
 def median_iqr(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
     """(column, q1, median, q3) of every column; a column with no value has nulls."""
     found = exact_percentiles(df, cols, (0.25, 0.5, 0.75), buckets)
@@ -153,24 +215,21 @@ def median_iqr(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -
 
 def describe_exact(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of every column."""
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(
-        *[
-            F.struct(
-                F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-            ).alias(c)
-            for c in cols
+    quarters = (0.25, 0.5, 0.75)
+    parts = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        parts += [
+            F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(f"m{i}"),
+            percentile_sketch(c, quarters).alias(f"s{i}"),
         ]
+    row = df.agg(*parts).first()  # one short row
+    quartiles = percentiles_between(df, {c: row[f"s{i}"] for i, c in enumerate(cols)}, quarters, buckets)
+    quartiles = quartiles.select(F.col("stat").alias("column"), F.col("p0").alias("p25"), F.col("p1").alias("p50"), F.col("p2").alias("p75"))
+    moments = df.sparkSession.createDataFrame(
+        [(c, *row[f"m{i}"]) for i, c in enumerate(cols)], "column string, count bigint, mean double, std double, min double, max double"
     )
-    quartiles = exact_percentiles(df, cols, (0.25, 0.5, 0.75), buckets).withColumnRenamed("stat", "column").drop("n")
-    moments = wide.select(F.inline(F.array(*[F.col(f"`{c}`") for c in cols])))
-    return (
-        moments.join(quartiles, "column", "left")
-        .select(
-            "column", "count", "mean", "std", "min",
-            F.col("p0").alias("p25"), F.col("p1").alias("p50"), F.col("p2").alias("p75"), "max",
-        )
-    )
+    return moments.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def roc_auc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:

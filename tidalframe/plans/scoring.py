@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.operators import scoring
 from tidalframe.plans.catalog import query
-from tidalframe.plans.standins import OBS_CTE, PAYLOADS_CTE, REQUESTS_CTE, obs, payloads, r6, requests
+from tidalframe.plans.standins import OBS_CTE, PAYLOADS_CTE, REQUESTS_CTE, images, obs, payloads, r6, requests
 from tidalframe.session import scratch_path
-from tidalframe.streaming.requests import score_stream
+from tidalframe.sources.tables import load_model, save_model
+from tidalframe.streaming.requests import move_clock, score_stream
 
-# What the checking engine sees after parsing: broken text has no fields.
-_PARSED = PAYLOADS_CTE + """, parsed AS (SELECT request_id, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.prediction_type') END AS prediction_type,
- CASE WHEN json_valid(payload) THEN CAST(json_extract_string(payload, '$.tabular_data.k') AS DOUBLE) END AS k,
- CASE WHEN NOT json_valid(payload) THEN 'Invalid JSON payload' END AS bad, content_type, image_score, tabular_score FROM payloads)"""
+# What the checking engine sees after parsing: broken text and what is no object has no fields.
+_PARSED = PAYLOADS_CTE + f""", read AS (SELECT *, CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END AS good FROM payloads),
+parsed AS (SELECT request_id, CASE WHEN good THEN json_extract_string(payload, '$.prediction_type') END AS prediction_type,
+ CASE WHEN good THEN nullif(json_extract(payload, '$.tabular_data'), 'null') END AS data,
+ CASE WHEN good THEN TRY_CAST(json_extract_string(payload, '$.tabular_data.k') AS DOUBLE) END AS k,
+ CASE WHEN good THEN json_extract_string(payload, '$.tabular_data.Realm_Name') END AS realm,
+ CASE WHEN NOT good THEN '{scoring.BAD_JSON}' END AS bad, content_type, image FROM read LEFT JOIN images USING (request_id))"""
 
 
-@query("s7_parse_requests", f"WITH {_PARSED} SELECT request_id, prediction_type, k, bad AS error FROM parsed")
+@query("s7_parse_requests", f"WITH {_PARSED} SELECT request_id, prediction_type, k, realm, bad AS error FROM parsed")
 def _(spark: SparkSession, d: str) -> DataFrame:
     parsed = scoring.parse_requests(payloads(spark, d))
-    return parsed.select("request_id", "prediction_type", F.col("tabular_data")["k"].alias("k"), "error")
+    typed = scoring.typed_fields(parsed, "tabular_data", {"k": "double", "Realm_Name": "string"})
+    return parsed.select("request_id", "prediction_type", typed["k"].alias("k"), typed["Realm_Name"].alias("realm"), "error")
 
 
 # Feature values of a tabular request per observation; every tenth lacks two of them.
@@ -90,49 +96,87 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("obs_no", "site_id", "predicted_class", r6("probability_bleached"), r6("probability_unbleached"))
 
 
+def _stored(spark: SparkSession, model: PipelineModel) -> PipelineModel:
+    """The model as a job gets it: from a folder."""
+    path = scratch_path(spark, "scoring-model")
+    save_model(model, path)
+    return load_model(path)
+
+
 @query("r1_predict_tabular_job", f"""WITH {OBS_CTE}, s AS (SELECT obs_no, CASE WHEN site_id % 9 = 0 THEN 'Tabular data is required.'
  WHEN site_id % 10 = 0 THEN 'Missing required tabular features: [''Depth_m'', ''Windspeed'']' END AS error, {_LINEAR} AS p FROM obs)
 SELECT obs_no, error, CASE WHEN error IS NOT NULL THEN NULL WHEN p >= 0.5 THEN 'Bleached' ELSE 'Unbleached' END AS predicted_class,
  CASE WHEN error IS NULL THEN round(p, 6) END AS probability_bleached, CASE WHEN error IS NULL THEN round(1 - p, 6) END AS probability_unbleached FROM s""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    scored = scoring.predict_tabular_job(_tabular_requests(spark, d), WEIGHTS, INTERCEPT, key="obs_no")
+    model = _stored(spark, scoring.linear_pipeline(WEIGHTS, INTERCEPT))
+    scored = scoring.predict_tabular_job(_tabular_requests(spark, d), model, key="obs_no")
     return scored.select("obs_no", "error", "predicted_class", r6("probability_bleached"), r6("probability_unbleached"))
 
 
-_DONE = _PARSED + f""", checked AS (SELECT *, coalesce(bad, {_MODE_RULES.format(no_data='k IS NULL')}) AS error FROM parsed),
-done AS (SELECT *, CASE WHEN error IS NULL THEN {_FUSE} END AS risk FROM checked)"""
-_JOB_SQL = """SELECT request_id, error, round(risk, 6) AS risk,
- CASE WHEN risk * 100 > 70 THEN 'High Risk' WHEN risk * 100 > 40 THEN 'Moderate Risk' WHEN risk IS NOT NULL THEN 'Low Risk' END AS risk_level FROM done"""
+# The models of the universal job: numbers and a text, and the numbers of an image.
+_JOB_FIELDS = {"k": "double", "Realm_Name": "string"}
+_REALMS = {"Central Indo-Pacific, west": 0.75, "Tethys": -0.5}
+_IMAGE_WEIGHTS = [((i * 5) % 9 - 4) / 2 for i in range(64)]
 
 
-def _job(spark: SparkSession, d: str) -> DataFrame:
-    p = payloads(spark, d)
-    image = p.where("image_score IS NOT NULL").select("request_id", "image_score")
-    tabular = p.where("tabular_score IS NOT NULL").select("request_id", "tabular_score")
-    return scoring.predict_job(p.drop("image_score", "tabular_score"), image, tabular)
+def _models(spark: SparkSession) -> tuple[PipelineModel, PipelineModel]:
+    tabular = scoring.linear_pipeline({"k": 0.05}, -2.5, {"k": 20.0}, {"Realm_Name": _REALMS})
+    return _stored(spark, tabular), _stored(spark, scoring.linear_image_pipeline(_IMAGE_WEIGHTS, 0.25))
+
+
+_REALM_SQL = " ".join(f"WHEN '{v}' THEN {w}" for v, w in _REALMS.items())
+
+
+def _done(k: str = "k", data: str = "data", lost: str = "image IS NULL") -> str:
+    """Error, scores and risk of every parsed request."""
+    return f"""{_PARSED}, known AS (SELECT *, {k} AS used_k, {data} AS used, starts_with(content_type, 'image/') AS named FROM parsed),
+checked AS (SELECT *, coalesce(bad, {_MODE_RULES.format(no_data="used IS NULL")}, CASE WHEN named AND ({lost}) THEN '{scoring.IMAGE_CONTENT_MISSING.replace("'", "''")}' END) AS error FROM known),
+scored AS (SELECT *, CASE WHEN error IS NULL AND used IS NOT NULL THEN 1 / (1 + exp(-(-2.5 + coalesce(used_k, 20.0) * 0.05 + CASE realm {_REALM_SQL} ELSE 0 END))) END AS tabular_score,
+ CASE WHEN error IS NULL AND named THEN 1 - 1 / (1 + exp(-(0.25 + list_dot_product(image::DOUBLE[], {_IMAGE_WEIGHTS}::DOUBLE[])))) END AS image_score FROM checked),
+done AS (SELECT *, CASE WHEN error IS NULL THEN {_FUSE} END AS risk FROM scored)"""
 
 
-@query("r3_predict_job", f"WITH {_DONE} {_JOB_SQL}")
+_JOB_SQL = """SELECT request_id, error, round(tabular_score, 6) AS tabular_score, round(image_score, 6) AS image_score, round(risk, 6) AS risk,
+ CASE WHEN risk * 100 > 70 THEN 'High Risk' WHEN risk * 100 > 40 THEN 'Moderate Risk' WHEN risk IS NOT NULL THEN 'Low Risk' END AS risk_level FROM done"""
+_LOOKED_UP = "request_id % 2 = 0 AND bad IS NULL AND prediction_type IS DISTINCT FROM 'Image-Only (VGG Augmented)'"
+
+
+@query("r3_predict_job", f"""WITH {_done(f"coalesce(k, CASE WHEN {_LOOKED_UP} THEN request_id % 90 END)", f"coalesce(data, CASE WHEN {_LOOKED_UP} THEN '1' END)")} {_JOB_SQL}""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _job(spark, d).select("request_id", "error", r6("risk"), "risk_level")
+    """Half of the requests have looked-up values, which the sent ones override."""
+    p = payloads(spark, d)
+    background = p.where("request_id % 2 = 0").selectExpr("request_id", "map('k', CAST(request_id % 90 AS DOUBLE)) AS values")
+    done = scoring.predict_job(p, *_models(spark), images=images(spark, d).drop("sent"), background=background, fields=_JOB_FIELDS)
+    return done.select("request_id", "error", r6("tabular_score"), r6("image_score"), r6("risk"), "risk_level")
 
 
-@query("s11_response_json", f"""WITH {_DONE} SELECT request_id, CASE WHEN error IS NULL THEN concat('{{"status":"success","prediction_type":"', prediction_type,
- '","predicted_bleaching_risk":', coalesce(CAST(round(risk, 3) AS VARCHAR), 'null'), ',"tabular_data_used":', CASE WHEN k IS NULL THEN '{{}}' ELSE concat('{{"k":', CAST(k AS VARCHAR), '}}') END,
+@query("s11_response_json", f"""WITH {_done()} SELECT request_id, CASE WHEN error IS NULL THEN concat('{{"status":"success","prediction_type":"', prediction_type,
+ '","predicted_bleaching_risk":', coalesce(CAST(round(risk, 3) AS VARCHAR), 'null'), ',"tabular_data_used":', coalesce(CAST(data AS VARCHAR), '{{}}'),
  ',"image_processed":', CASE WHEN content_type IS NULL THEN 'false' ELSE 'true' END, ',"model_ready":true}}') END AS response FROM done""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    scored = _job(spark, d).drop("response").withColumn("risk", F.round("risk", 3))
-    return scoring.response_json(scored).select("request_id", "response")
+    parsed = scoring.parse_requests(payloads(spark, d)).join(images(spark, d).drop("sent"), "request_id", "left")
+    scored = scoring.score_requests(parsed, *_models(spark), fields=_JOB_FIELDS)
+    return scoring.response_json(scored.withColumn("risk", F.round("risk", 3))).select("request_id", "response")
 
 
-@query("t1_score_stream", f"WITH {_DONE} SELECT CASE WHEN error IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, request_id, error, round(risk, 6) AS risk FROM done WHERE bad IS NULL UNION ALL SELECT 'rejected', NULL, bad, NULL FROM done WHERE bad IS NOT NULL")
+_STREAMED = _done(lost="image IS NULL OR request_id % 29 = 0")
+
+
+@query("t1_score_stream", f"WITH {_STREAMED} SELECT CASE WHEN error IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, request_id, error, round(risk, 6) AS risk FROM done WHERE request_id % 43 <> 0 UNION ALL SELECT 'rejected', NULL, '{scoring.BAD_JSON}', NULL FROM done WHERE request_id % 43 = 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Requests written as JSON lines, broken ones included, then read, scored and written by the stream."""
-    p = payloads(spark, d)
-    good = F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit(", "), F.expr("substring(to_json(struct(request_id, content_type, image_score, tabular_score)), 2)"))
-    lines = p.select(F.when(F.endswith("payload", F.lit("}")), good).otherwise(F.col("payload")).alias("value"))
-    arrived, out, state = (scratch_path(spark, f"stream-{part}") for part in ("in", "out", "state"))
-    lines.write.text(arrived)
-    stream = score_stream(spark, arrived, out, state)
-    stream.awaitTermination()
+    """Requests and images written as JSON lines, then brought together, scored and written by the stream.
+
+    Some request lines are broken, some images come too late or never: those requests go on without when the clock says so.
+    """
+    line = F.to_json(F.struct("request_id", "sent", "content_type", "payload"))
+    lines = payloads(spark, d).select(F.when(F.col("request_id") % 43 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    late = F.when(F.col("request_id") % 29 == 0, F.expr("INTERVAL 1 HOUR")).otherwise(F.expr("INTERVAL 5 MINUTE"))
+    content = images(spark, d).withColumns({"sent": F.col("sent") + late, "image": F.col("image").cast("array<double>")})
+    asked, sent, out, state = (scratch_path(spark, f"stream-{part}") for part in ("requests", "images", "out", "state"))
+    lines.write.text(asked)
+    content.write.json(sent)
+    tabular, image = _models(spark)
+    for _ in range(3):  # the last two read the clock and what waited for it
+        score_stream(spark, asked, sent, out, state, tabular, image, fields=_JOB_FIELDS).awaitTermination()
+        move_clock(spark, asked, sent, "2200-01-01 00:00:00")
     return spark.read.parquet(out).select("outcome", "request_id", "error", r6("risk"))

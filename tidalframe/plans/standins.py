@@ -68,19 +68,28 @@ SELECT user_id AS run_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, e
 FROM {events}
 """
 
-# A scoring payload per event: some are cut off and no longer parse.
+# A scoring payload per event: numbers, numbers as text, texts, null data; some are no objects or cut off and don't parse.
 PAYLOADS = """
 SELECT event_id AS request_id,
- CASE WHEN event_id % 13 = 0 THEN '{{"prediction_type": "Tab'
+ CASE WHEN event_id % 13 = 0 THEN '{{"prediction_type": "Tab' WHEN event_id % 37 = 0 THEN '[1, 2]'
   WHEN event_id % 7 = 0 THEN concat('{{"prediction_type": "', prediction_type, '"}}')
+  WHEN event_id % 31 = 0 THEN concat('{{"prediction_type": "', prediction_type, '", "tabular_data": null}}')
+  WHEN event_id % 11 = 0 THEN concat('{{"prediction_type": "', prediction_type, '", "tabular_data": {{"Realm_Name": "Central Indo-Pacific, west", ', substring(props, 2, length(props) - 1), '}}')
+  WHEN event_id % 19 = 0 THEN concat('{{"prediction_type": "', prediction_type, '", "tabular_data": {{"Realm_Name": "Tethys", "k": "', CAST(event_id % 50 AS VARCHAR(20)), '"}}}}')
+  WHEN event_id % 41 = 0 THEN concat('{{"prediction_type": "', prediction_type, '", "tabular_data": {{"Realm_Name": "none"}}}}')
   ELSE concat('{{"prediction_type": "', prediction_type, '", "tabular_data": ', props, '}}') END AS payload,
- CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'text/plain' ELSE 'image/png' END AS content_type,
- CASE WHEN event_id % 7 = 0 OR event_id % 13 = 0 THEN NULL ELSE value / 500 END AS tabular_score,
- CASE WHEN event_id % 3 = 0 OR event_id % 17 = 0 THEN NULL ELSE (event_id % 100) / CAST(100 AS DOUBLE) END AS image_score
-FROM (SELECT event_id, value, props, CASE event_id % 5 WHEN 0 THEN 'Multi-Modal Fusion (Image + Data)' WHEN 1 THEN 'Image-Only (VGG Augmented)'
+ CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'text/plain' ELSE 'image/png' END AS content_type, ts AS sent
+FROM (SELECT event_id, ts, props, CASE event_id % 5 WHEN 0 THEN 'Multi-Modal Fusion (Image + Data)' WHEN 1 THEN 'Image-Only (VGG Augmented)'
   WHEN 2 THEN 'Tabular-Only' WHEN 3 THEN 'Manual Data Entry Only (No NOAA Pull)' ELSE 'other' END AS prediction_type FROM {events}) e
 """
 
+# The image content of every request that names an image; for some there is none.
+IMAGES = """
+SELECT event_id AS request_id, ts AS sent, embedding AS image
+FROM {events} JOIN {embeddings} ON vec_id = event_id % 200
+WHERE event_id % 3 <> 0 AND event_id % 17 <> 0 AND event_id % 23 <> 0
+"""
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -148,7 +157,7 @@ SELECT obs_no, site_id, obs_date, country_name, realm_name, exposure,
 FROM reef_obs_raw)"""
 SCORES_CTE = f"score_pairs AS ({plain(SCORE_PAIRS)})"
 REQUESTS_CTE = f"requests AS ({plain(REQUESTS)})"
-PAYLOADS_CTE = f"payloads AS ({plain(PAYLOADS)})"
+PAYLOADS_CTE = f"payloads AS ({plain(PAYLOADS)}), images AS ({plain(IMAGES)})"
 GRID_CTE = f"grid_cells AS ({plain(GRID_CELLS)}), site_points AS ({plain(SITE_POINTS)})"
 HISTORY_CTE = f"history AS ({plain(HISTORY)})"
 
@@ -183,6 +192,10 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     return view(spark, folder, PAYLOADS)
 
 
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    return view(spark, folder, IMAGES)
+
+
 def numbered_events(spark: SparkSession, folder: str, out: str) -> DataFrame:
     """Events with their place among the user's events in time order, from 1; numbered day by day, so a busy user is many tasks."""
     return number_rows(table(spark, folder, "events"), ["user_id"], F.to_date("ts"), ["ts", "event_id"], out)
