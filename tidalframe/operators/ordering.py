@@ -172,12 +172,13 @@ def percentiles_between(
     long = df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
     bounds = {c: [b for low, high in parts for b in np.linspace(low, high, max(2, k // len(parts)), endpoint=False).tolist()] if parts else [] for c, parts in intervals.items()}
     bounds = {c: sorted({b for b in found if np.isfinite(b)}) for c, found in bounds.items()}
-    weights = {"n": F.count(F.lit(1)), "under": F.sum("under"), "over": F.sum("over")}
-    placed = cumulative_counts(long, bounds, weights).withColumnRenamed("n_total", "total")
+    # all three sums are used where they are counted and where they are accumulated, so both share one shuffle
+    weights = {"own": F.sum(1 - F.col("under") - F.col("over")), "under": F.sum("under"), "over": F.sum("over")}
+    whole = lambda suffix: F.col(f"own{suffix}") + F.col(f"under{suffix}") + F.col(f"over{suffix}")
+    placed = cumulative_counts(long, bounds, weights).withColumns({"total": whole("_total"), "first": whole("_before") + F.col("under")})
 
     def at(position: Column) -> Column:
-        first, behind = F.col("n_before") + F.col("under"), F.col("n_before") + F.col("n") - F.col("over")
-        found = F.max(F.when((first <= position) & (position < behind), F.col("v")))
+        found = F.max(F.when((F.col("first") <= position) & (position < F.col("first") + F.col("own")), F.col("v")))
         return F.coalesce(found, F.raise_error(F.lit("a quantile sketch was off by more than its error")).cast("double"))
 
     picks = []
