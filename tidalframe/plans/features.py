@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 
 from tidalframe.functions import labels, timefeatures
-from tidalframe.operators import cleaning, features
+from tidalframe.operators import cleaning, dictionary, features
+from tidalframe.operators.preprocessor import ObservationPreprocessor
 from tidalframe.plans.catalog import query
 from tidalframe.plans.standins import FEATURES, OBS_CTE, obs, r6, table
+from tidalframe.session import scratch_path
+from tidalframe.sources.tables import load_model, save_model
 
 CATEGORIES = ["realm_name", "exposure"]
 KEYS = ["obs_no"]
@@ -58,9 +62,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return features.robust_scale(obs(spark, d).select("obs_no", *FEATURES), FEATURES).select("obs_no", *[r6(c) for c in FEATURES])
 
 
-
-
-
 @query("m3_one_hot", f"""WITH {OBS_CTE}, rows AS (SELECT obs_no, realm_name, exposure FROM obs),
 flags AS (SELECT r.obs_no, 'realm_name_' || v.realm_name AS feature, CAST(coalesce(r.realm_name = v.realm_name, false) AS DOUBLE) AS flag FROM rows r, (SELECT DISTINCT realm_name FROM rows) v
 UNION ALL SELECT r.obs_no, 'exposure_' || coalesce(v.exposure, 'None'), CAST(r.exposure IS NOT DISTINCT FROM v.exposure AS DOUBLE) FROM rows r, (SELECT DISTINCT exposure FROM rows) v)
@@ -102,6 +103,49 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return features.feature_names(features.fit_preprocessor(base, FEATURES, CATEGORIES, keep=KEYS), base)
 
 
+# Years up to this one are fitted on, later ones are prepared by what was stored.
+LAST_FITTED_YEAR = 1996
+_STORED_CATEGORIES = ["realm_name", "exposure", "site_id"]
+
+
+def _stored_entries_sql() -> str:
+    """(obs_no, idx, value) of the later rows, by numbers and categories of the earlier ones."""
+    fitted = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.5) AS {c}_q2, quantile_cont({c}, 0.75) AS {c}_q3" for c in FEATURES)
+    parts = [f"SELECT obs_no, {i} AS idx, {_scaled(c, True)} AS value FROM later, q" for i, c in enumerate(FEATURES)]
+    n = len(FEATURES)
+    parts += [f"SELECT obs_no, {n}, sin(2 * pi() * obs_month / 12) FROM later", f"SELECT obs_no, {n + 1}, cos(2 * pi() * obs_month / 12) FROM later", f"SELECT obs_no, {n + 2}, (obs_year - year_mean) / year_std FROM later, q"]
+    begin = f"{n + 3}"
+    for c in _STORED_CATEGORIES:
+        ranked = f"(SELECT v, row_number() OVER (ORDER BY v NULLS LAST) - 1 AS i FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM fitted))"
+        parts.append(f"SELECT obs_no, {begin} + i, CAST(1 AS DOUBLE) FROM later JOIN {ranked} ON CAST({c} AS VARCHAR) IS NOT DISTINCT FROM v")
+        begin += f" + (SELECT count(*) FROM (SELECT DISTINCT {c} FROM fitted))"
+    return (f"WITH {OBS_CTE}, fitted AS (SELECT * FROM obs WHERE obs_year <= {LAST_FITTED_YEAR}), later AS (SELECT * FROM obs WHERE obs_year > {LAST_FITTED_YEAR}), "
+            f"q AS (SELECT {fitted}, avg(obs_year) AS year_mean, stddev_samp(obs_year) AS year_std FROM fitted) "
+            f"SELECT obs_no, CAST(idx AS BIGINT) AS idx, round(value, 6) + 0.0 AS value FROM ({' UNION ALL '.join(parts)})")
+
+
+@query("m4_stored_preprocessor", _stored_entries_sql())
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted on the earlier years, stored, loaded, and applied to the later ones: the filled positions of every vector."""
+    base = obs(spark, d)
+    stage = ObservationPreprocessor(numeric=FEATURES, categorical=_STORED_CATEGORIES, yearCol="obs_year", monthCol="obs_month")
+    path = scratch_path(spark, "preprocessor")
+    save_model(Pipeline(stages=[stage]).fit(base.where(F.col("obs_year") <= LAST_FITTED_YEAR)), path)
+    model: PipelineModel = load_model(path)
+    vectors = model.transform(base.where(F.col("obs_year") > LAST_FITTED_YEAR)).select("obs_no", F.to_json(F.struct("features")).alias("text"))
+    parts = F.from_json("text", "features STRUCT<indices: ARRAY<BIGINT>, values: ARRAY<DOUBLE>>")["features"]
+    entries = vectors.select("obs_no", F.inline(F.arrays_zip(parts["indices"].alias("idx"), parts["values"].alias("value"))))
+    return entries.toDF("obs_no", "idx", "value").withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query("m3_category_index", f"WITH {OBS_CTE}, keys AS (SELECT obs_no, concat(site_id, '/', obs_no) AS place FROM obs) SELECT obs_no, CAST(dense_rank() OVER (ORDER BY place) - 1 AS BIGINT) AS place_index FROM keys")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A column with nearly as many values as the table has rows, numbered by a dictionary."""
+    base = obs(spark, d).select("obs_no", F.concat_ws("/", "site_id", "obs_no").alias("place"))
+    known = dictionary.number_categories(base, ["place"])
+    return dictionary.add_category_index(base, known, "place", "place_index").drop("place")
+
+
 @query("j2_combine_columns", "SELECT p_partkey, p_size, p_retailprice, p_brand, p_type FROM part")
 def _(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
