@@ -1,5 +1,7 @@
 """The pipeline against a brute-force version of each stage, and what holds for every stage."""
 
+import glob
+
 import corpus_pipeline
 import __spark_entry__ as contract
 from tests.llm.test_models import plain_quality
@@ -46,3 +48,19 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
             out = stage(spark, table, SMALL)
             assert k == 4 or out.columns == docs.columns
             assert out.count() == 0 if table is not docs else out.count() > 0
+
+
+def test_tables_of_finished_stages_are_removed(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    quality, lines = corpus_pipeline.quality_stage, corpus_pipeline.line_stage
+    first = quality(spark, docs, SMALL)
+    made = [folder for _, folder in corpus_pipeline._made]
+    assert len(made) == 1 and glob.glob(f"{made[0].removeprefix('file:')}/*")
+    second = lines(spark, first, SMALL)  # not written in between: still read from the first stage's tables
+    assert made[0] in [folder for _, folder in corpus_pipeline._made]
+    assert second.count() == first.count()
+    corpus_pipeline.release(spark, docs)
+    assert corpus_pipeline._made == [] and not glob.glob(f"{made[0].removeprefix('file:')}*")
+    out = corpus_pipeline.run(spark, SMALL)
+    assert corpus_pipeline._made == [] and out.count() > 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("blocks_quality")]

@@ -8,7 +8,7 @@ import xxhash
 
 from tests.llm.test_near import classes
 from tidalframe.llm.simhash_similar import (
-    BITS, SEGMENTS, WILDCARDS, WORDS, bit_counts, key_width, max_bits, shingle_hashes, similar_dedup, similar_keys, similar_links, sketch, sketches,
+    BITS, SEGMENTS, WILDCARDS, WORDS, bit_counts, shingle_hashes, similar_dedup, similar_keys, similar_links, sketch, sketches, texts_by_node,
 )
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,8 +20,8 @@ def shingles(text, size=5):
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def plain_sketch(text, width):
-    """Size, fingerprint as one number and keys, with plain integers."""
+def plain_sketch(text):
+    """Number of shingles and fingerprint as one number, with plain integers."""
     grams = {xxhash.xxh64_intdigest(" ".join(s), 42) for s in shingles(text)}
     lean = [0] * BITS
     for g in grams:
@@ -32,34 +32,34 @@ def plain_sketch(text, width):
             x ^= x >> 31
             for b in range(64):
                 lean[64 * w + b] += 1 if x >> b & 1 else -1
-    value = sum(1 << b for b in range(BITS) if lean[b] > 0)
-    keys = set()
-    for s in range(SEGMENTS):
-        part = value >> 32 * s & (1 << width) - 1
-        near = sorted(range(width), key=lambda b: (abs(lean[32 * s + b]), b))[:WILDCARDS]
-        keys |= {(s, None, part)} | {(s, b, part & ~(1 << b)) for b in near}
-    return len(grams), value, keys
+    return len(grams), sum(1 << b for b in range(BITS) if lean[b] > 0)
 
 
 def similar_brute(texts):
-    """Index of the first member of each text's class."""
-    width = key_width(len(texts))
-    known = {t: plain_sketch(t, width) for t in set(texts)}
+    """Index of the first member of each text's class: links are all pairs with a shingle similarity of 0.8 or more."""
+    known = [shingles(t) for t in texts]
     links = []
-    for a in range(len(texts)):
-        for b in range(a):
-            (n, x, p), (m, y, q) = known[texts[a]], known[texts[b]]
-            if texts[a] == texts[b] or (min(n, m) >= 0.8 * max(n, m) and (x ^ y).bit_count() <= max_bits(0.8) and p & q):
+    for a, x in enumerate(known):
+        for b, y in enumerate(known[:a]):
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
                 links.append((a, b))
     return classes(len(texts), links)
 
 
+def links_of(df, **options):
+    """Pairs of ids."""
+    texts = texts_by_node(df, "doc_id", "text")
+    table = sketches(texts).cache()
+    number = {r.node: r.id for r in table.select("id", "node").collect()}
+    return [tuple(sorted((number[r.a], number[r.b]))) for r in similar_links(texts, table, **options).collect()]
+
+
 def test_sketch_equals_plain_integers():
     rng = random.Random(2)
     for words in (0, 1, 4, 5, 30, 700):
         text = " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(words))
-        n, value, _ = sketch(text, 18)[0], sum((int(w) & MASK) << 64 * k for k, w in enumerate(sketch(text, 18)[1])), None
-        assert (n, value) == plain_sketch(text, 18)[:2]
+        n, value = sketch(text)[0], sum((int(w) & MASK) << 64 * k for k, w in enumerate(sketch(text)[1]))
+        assert (n, value) == plain_sketch(text)
     # more rows than one byte lane and one part hold
     hashes = np.arange(255 * 64 * 2 + 7, dtype=np.uint64)
     assert bit_counts(hashes).tolist() == sum(bit_counts(hashes[i : i + 100]) for i in range(0, len(hashes), 100)).tolist()
@@ -94,7 +94,7 @@ def test_copies_of_every_similarity(spark):
 
 
 @pytest.mark.parametrize("bucket_rows", [1, 8, 64])
-def test_large_groups_go_by_leaders(spark, bucket_rows):
+def test_large_groups_of_near_copies(spark, bucket_rows):
     """Near copies of two texts, and unlike texts, whatever a bucket may hold."""
     rng = random.Random(5)
     rows = []
@@ -104,12 +104,10 @@ def test_large_groups_go_by_leaders(spark, bucket_rows):
             rows.append((len(rows), " ".join(words[:c] + [f"c{c}"] + words[c + 1 :])))
     rows += [(len(rows) + k, " ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(80))) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    width = key_width(len(rows))
-    table = sketches(df, "doc_id", "text", width).cache()
-    number = {r.node: r.id for r in table.collect()}
-    root = classes(len(rows), [(number[r.a], number[r.b]) for r in similar_links(table, width, bucket_rows=bucket_rows).collect()])
+    root = classes(len(rows), links_of(df, bucket_rows=bucket_rows))
     assert root == [0] * 120 + [120] * 120 + list(range(240, 280))
-    assert similar_keys(table, width).groupBy("node").count().where(f"count <> {SEGMENTS * (WILDCARDS + 1)}").isEmpty()
+    table = sketches(texts_by_node(df, "doc_id", "text"))
+    assert similar_keys(table).groupBy("node").count().where(f"count <> {SEGMENTS * (WILDCARDS + 1)}").isEmpty()
 
 
 def edited(rng, words, changes, name):
@@ -128,26 +126,21 @@ def test_star_of_edits_equals_all_pairs(spark):
     same = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
     assert same(texts[0], texts[1]) > 0.82 and same(texts[1], texts[2]) < 0.76
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
-    table = sketches(df, "doc_id", "text", 20).cache()
-    number = {r.node: r.id for r in table.select("id", "node").collect()}
-    root = classes(len(texts), [(number[r.a], number[r.b]) for r in similar_links(table, 20, chunk_shingles=300_000).collect()])
+    root = classes(len(texts), links_of(df, chunk_shingles=300_000))
     assert root == [0] * 3001
 
 
-@pytest.mark.parametrize("width", [18, 27, 32])
-def test_similarity_of_0_8_is_found_at_every_width(spark, width):
-    """Pairs with a true shingle similarity of 0.8 or more, and as many below, with the keys of tables of any size."""
+def test_links_are_the_pairs_from_0_8_on(spark):
+    """Pairs with a true shingle similarity of 0.8 or more, and none below, however near."""
     rng, rows, true = random.Random(3), [], []
     for base in range(300):
         words = [f"b{base}x{k}" for k in range(404)]
         a, b = " ".join(words), edited(rng, words, 1 + base % 14, "e")
         rows += [(2 * base, a), (2 * base + 1, b)]
         true.append(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)))
-    table = sketches(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", width).cache()
-    number = {r.node: r.id for r in table.collect()}
-    found = {tuple(sorted((number[r.a], number[r.b]))) for r in similar_links(table, width).collect()}
-    assert all((2 * k, 2 * k + 1) in found for k in range(300) if true[k] >= 0.8) and sum(0.8 <= t < 0.83 for t in true) > 15
-    assert not any((2 * k, 2 * k + 1) in found for k in range(300) if true[k] < 0.7) and all(a // 2 == b // 2 for a, b in found)
+    found = set(links_of(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert found == {(2 * k, 2 * k + 1) for k in range(300) if true[k] >= 0.8}
+    assert sum(0.8 <= t < 0.83 for t in true) > 15 and sum(0.76 < t < 0.8 for t in true) > 15
 
 
 def test_defined_results(spark):

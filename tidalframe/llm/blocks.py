@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidalframe.llm.common import partitions
+from tidalframe.llm.common import partitions, table_path
 
 BLOCK_BYTES = 2 << 20
 _SCHEMA = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
@@ -61,17 +61,18 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iter
 def write_blocks(df: DataFrame, text: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Table (block, payload): every row of ``df`` is in one block of about ``block_bytes`` of text.
 
-    The table lies in the warehouse, so it outlives any executor; ``drop_blocks`` removes it.
+    Its files lie below the shared folder, so the table outlives any executor; ``drop_blocks`` takes it out of the catalog.
     """
     spark, buckets = df.sparkSession, partitions(df.sparkSession)
     table = f"blocks_{name}_{uuid.uuid4().hex}"
     packed = df.mapInArrow(partial(_pack_rows, text=text, limit=block_bytes), "block bigint, payload binary")
-    packed.repartition(buckets, "block").write.format("parquet").option("compression", "uncompressed").bucketBy(buckets, "block").saveAsTable(table)
+    path = table_path(spark, f"blocks-{name}", table)
+    packed.repartition(buckets, "block").write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(buckets, "block").saveAsTable(table)
     return spark.table(table)
 
 
 def drop_blocks(spark, name: str) -> None:
-    """Remove the block tables of one name, when results built on them are no longer read."""
+    """Take the block tables of one name out of the catalog, when results built on them are no longer read."""
     for table in spark.catalog.listTables():
         if table.name.startswith(f"blocks_{name}_"):
             spark.sql(f"DROP TABLE {table.name}")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +20,43 @@ def documents(spark: SparkSession, folder: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+# Catalog tables whose files lie in a scope.
+_tables: dict[str, list[str]] = {}
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """Folder below the shared one for all tables written inside, so that ``remove_scratch`` can remove them together."""
+    folder = scratch_path(spark, name)
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+
+
+def remove_scratch(spark: SparkSession, folder: str) -> None:
+    """Remove a scope, or a table of ``materialise``, whose rows are no longer read."""
+    for table in _tables.pop(folder, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table_path(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A fresh path in the present scope, or without one below the shared folder; ``table`` is the name in the catalog, if any."""
+    folder = _scope.get()
+    if folder is None:
+        return scratch_path(spark, name)
+    if table:
+        _tables.setdefault(folder, []).append(table)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write a table below the shared folder and read it back: later plans start there, whichever executor is lost."""
-    path = scratch_path(df.sparkSession, name)
+    path = path or table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

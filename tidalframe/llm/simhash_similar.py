@@ -1,11 +1,12 @@
 """SimHash near-deduplication by similarity: a fingerprint long enough to tell a shingle similarity of 0.8 from less.
 
-Three of 64 bits find only the closest copies. Here a text has ``SEGMENTS`` segments of 32 bits. Near copies nearly always
-have a segment that differs in one bit at most, and that bit nearly always lies among the ``WILDCARDS`` bits whose counts
-are nearest to a tie in both texts. So every segment gives one exact key and one key per wildcard on such a bit.
-These keys grow with the table, and longer ones find fewer pairs. So a text also has ``BANDS`` keys of ``BAND_ROWS`` least
-shingle hashes each, which depend on the text alone: a pair at 0.8 shares one with a chance above 0.9999 in a table of any size.
-A pair is linked if its fingerprints are as close as the similarity gives on average, or if its shingles have the similarity.
+Three of 64 bits find only the closest copies. Here a text has ``SEGMENTS`` segments of ``SEGMENT_BITS`` bits. Near copies
+nearly always have a segment that differs in one bit at most, and that bit nearly always lies among the ``WILDCARDS`` bits
+whose counts are nearest to a tie in both texts. So every segment gives one exact key and one key per wildcard on such a bit.
+Pairs near the limit share no segment more often, so a text also has ``BANDS`` keys of ``BAND_ROWS`` least shingle hashes
+each: a pair at 0.8 shares one with a chance above 0.9999. Keys depend on the text alone, so which pairs meet does not depend
+on the table. A pair that meets is linked if its shingles have the similarity, and only then; the fingerprints decide
+whose shingles are looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from tidalframe.llm.simhash import keep_rows
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SEGMENTS = 16
-BITS = 32 * SEGMENTS
+SEGMENT_BITS = 32
+BITS = SEGMENT_BITS * SEGMENTS
 WORDS = BITS // 64
 WILDCARDS = 5
 # Keys of least hashes: a pair of similarity s misses all with a chance of (1 - s ** BAND_ROWS) ** BANDS, 0.00007 at 0.8.
@@ -45,16 +47,6 @@ DEVIATIONS = 6
 _LANES = np.uint64(0x0101010101010101)
 
 
-def key_width(rows: int) -> int:
-    """Bits of a segment that a key holds: eight times as many keys as rows keep chance meetings rare at every size."""
-    return min(32, max(16, math.ceil(math.log2(max(rows, 1))) + 3))
-
-
-def max_bits(similarity: float) -> int:
-    """Expected differing bits of two equally long shingle sets of this similarity (Jaccard)."""
-    return int(BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def filter_bits(similarity: float) -> int:
     """Differing bits that a pair of this similarity practically never passes."""
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -108,19 +100,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketch(text: str | None, width: int, shingle: int = SHINGLE_WORDS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of different shingles, fingerprint as 64-bit words, wildcard bits of each segment, shingle hashes, band keys) of a text.
+def sketch(text: str | None, shingle: int = SHINGLE_WORDS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of different shingles, fingerprint as 64-bit words, wildcard bits of each segment, band keys) of a text.
 
-    A bit is set if over half of the shingles set it; wildcards stand within the first ``width`` bits of a segment.
+    A bit is set if over half of the shingles set it.
     """
     hashes = shingle_hashes(text, shingle)
     lean = 2 * bit_counts(hashes) - len(hashes)
     words = np.packbits(lean > 0, bitorder="little").view(np.int64)
-    wild = np.argsort(np.abs(lean.reshape(SEGMENTS, 32)[:, :width]), axis=1, kind="stable")[:, :WILDCARDS]
-    return len(hashes), words, wild.astype(np.int8).ravel(), hashes.view(np.int64), band_keys(hashes)
+    wild = np.argsort(np.abs(lean.reshape(SEGMENTS, SEGMENT_BITS)), axis=1, kind="stable")[:, :WILDCARDS]
+    return len(hashes), words, wild.astype(np.int8).ravel(), band_keys(hashes)
 
 
-_SKETCH = "id bigint, node bigint, n bigint, words array<bigint>, wild array<tinyint>, shingles array<bigint>, bands array<bigint>"
+_SKETCH = "id bigint, node bigint, n bigint, words array<bigint>, wild array<tinyint>, bands array<bigint>"
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -128,46 +120,66 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], width: int, shingle: int) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             piece = batch.slice(at, 500)
-            sizes, *lists = zip(*(sketch(t.as_py(), width, shingle) for t in piece.column("text")))
+            sizes, *lists = zip(*(sketch(t.as_py(), shingle) for t in piece.column("text")))
             columns = [piece.column("id"), piece.column("node"), pa.array(sizes, pa.int64()), *map(_lists, lists)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "words", "wild", "shingles", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "n", "words", "wild", "bands"])
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, width: int, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """Table (node, id, n, words, wild, shingles, bands), one row per different text: ``node`` is a hash of the text, ``id`` its least id."""
+def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            piece = batch.slice(at, 500)
+            found = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in piece.column("text")]
+            yield pa.RecordBatch.from_arrays([piece.column("node"), _lists(found)], names=["node", "shingles"])
+
+
+def texts_by_node(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, node, text): ``node`` is a hash of the text."""
     text = F.col(text_col).cast("string")
-    rows = df.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    every = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    return every.mapInArrow(partial(_sketches, width=width, shingle=shingle), _SKETCH).select("node", "id", "n", "words", "wild", "shingles", "bands")
+    return df.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+
+
+def sketches(texts: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """Table (node, id, n, words, wild, bands), one row per different text with its least id. Sketches are shuffled, texts are not."""
+    every = texts.mapInArrow(partial(_sketches, shingle=shingle), _SKETCH)
+    rest = [F.first(c).alias(c) for c in ("n", "words", "wild", "bands")]
+    return every.groupBy("node").agg(F.min("id").alias("id"), *rest)
+
+
+def shingle_lists(texts: DataFrame, table: DataFrame, nodes: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """Table (node, shingles) of some nodes, read from the texts again: only of texts that are compared are shingles moved."""
+    wanted = materialise(table.select("node", "id").join(nodes, "node", "left_semi"), "similar-wanted")
+    found = texts.join(wanted, ["node", "id"], "left_semi").select("node", "text").mapInArrow(partial(_shingles, shingle=shingle), "node bigint, shingles array<bigint>")
+    return materialise(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-shingles")
 
 
-def similar_keys(table: DataFrame, width: int) -> DataFrame:
-    """Rows (node, key): of every segment the first ``width`` bits, whole and with a wildcard on each of its wildcard bits."""
+def similar_keys(table: DataFrame) -> DataFrame:
+    """Rows (node, key): of every segment its bits, whole and with a wildcard on each of its wildcard bits."""
     rows = table.select("node", "words", "wild", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * (WILDCARDS + 1) - 1))).alias("j"))
     rows = rows.selectExpr(
         "node", f"CAST(j div {WILDCARDS + 1} AS INT) AS segment", "words",
         f"IF(j % {WILDCARDS + 1} = {WILDCARDS}, 63, CAST(get(wild, CAST(j div {WILDCARDS + 1} AS INT) * {WILDCARDS} + j % {WILDCARDS + 1}) AS INT)) AS bit",
     )
-    rows = rows.selectExpr("node", "segment", "bit", f"shiftrightunsigned(get(words, CAST(segment div 2 AS INT)), segment % 2 * 32) & {(1 << width) - 1}L AS value")
+    rows = rows.selectExpr("node", "segment", "bit", f"shiftrightunsigned(get(words, CAST(segment div 2 AS INT)), segment % 2 * 32) & {(1 << SEGMENT_BITS) - 1}L AS value")
     # bit 63 is never set in a value, so that "no wildcard" clears nothing
     return rows.selectExpr("node", "(value & ~shiftleft(1L, bit)) | shiftleft(CAST(bit AS BIGINT), 32) | shiftleft(CAST(segment AS BIGINT), 40) AS key")
 
 
-def _close(pairs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) with fingerprints within ``max_bits``, or shingles of this Jaccard similarity or more."""
+def _close(pairs: DataFrame, texts: DataFrame, table: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingles have this Jaccard similarity or more."""
     left, right = (table.selectExpr(f"node AS {end}", f"n AS {end}_n", f"words AS {end}_words") for end in "ab")
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.get("a_words", F.lit(k)).bitwiseXOR(F.get("b_words", F.lit(k)))) for k in range(WORDS)])
     sizes = F.least("a_n", "b_n") + 1e-9 >= similarity * F.greatest("a_n", "b_n")
     bits = (F.least("a_n", "b_n") < FILTER_SHINGLES) | (differ <= filter_bits(similarity))
-    near = materialise(pairs.join(left, "a").join(right, "b").where(sizes & bits).select("a", "b", (differ <= max_bits(similarity)).alias("sure")), "similar-near")
-    left, right = (table.selectExpr(f"node AS {end}", f"shingles AS {end}_shingles") for end in "ab")
-    both = near.where("NOT sure").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_shingles", "b_shingles")))
-    both = both.where(F.col("common") + 1e-9 >= similarity * (F.size("a_shingles") + F.size("b_shingles") - F.col("common")))
-    return near.where("sure").select("a", "b").unionByName(both.select("a", "b"))
+    near = materialise(pairs.join(left, "a").join(right, "b").where(sizes & bits).select("a", "b"), "similar-near")
+    lists = shingle_lists(texts, table, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
+    left, right = (lists.selectExpr(f"node AS {end}", f"shingles AS {end}_shingles") for end in "ab")
+    both = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_shingles", "b_shingles")))
+    return both.where(F.col("common") + 1e-9 >= similarity * (F.size("a_shingles") + F.size("b_shingles") - F.col("common"))).select("a", "b")
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -196,11 +208,11 @@ def _chunk_links(table: pa.Table, similarity: float) -> pa.Table:
             differ = np.bitwise_count(words[rest] ^ words[x]).sum(axis=1)
             near = (np.minimum(n[rest], n[x]) < FILTER_SHINGLES) | (differ <= limit)
             mark[ids[ends[x] : ends[x + 1]]] = True
-            for y, sure in zip(rest[near].tolist(), (differ[near] <= max_bits(similarity)).tolist()):
+            for y in rest[near].tolist():
                 if not waiting[y]:
                     continue
                 common = np.count_nonzero(mark[ids[ends[y] : ends[y + 1]]])
-                if sure or common + 1e-9 >= similarity * (n[x] + n[y] - common):
+                if common + 1e-9 >= similarity * (n[x] + n[y] - common):
                     out.append((int(node[x]), int(node[y])))
                     more = np.flatnonzero(waiting & (of == of[y])).tolist()
                     waiting[more] = False
@@ -209,9 +221,10 @@ def _chunk_links(table: pa.Table, similarity: float) -> pa.Table:
     return pa.Table.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=_LINKS)
 
 
-def _large_links(rows: DataFrame, table: DataFrame, similarity: float, chunk_shingles: int) -> DataFrame:
+def _large_links(rows: DataFrame, texts: DataFrame, table: DataFrame, similarity: float, chunk_shingles: int, shingle: int) -> DataFrame:
     """Links between the classes of each large bucket: all pairs of its chunks, each in a group of two chunks at most."""
-    rows = rows.join(table.select("node", "n", "words", "shingles"), "node")
+    lists = shingle_lists(texts, table, rows.select("node").distinct(), shingle)
+    rows = rows.join(table.select("node", "n", "words"), "node").join(lists, "node")
     counts = rows.groupBy("key").agg(F.ceil(F.sum(F.col("n") + 1) / chunk_shingles).alias("chunks"))
     rows = rows.join(counts, "key").withColumn("chunk", F.expr("pmod(xxhash64(node, key), chunks)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
@@ -223,22 +236,24 @@ def _large_links(rows: DataFrame, table: DataFrame, similarity: float, chunk_shi
     return rows.groupBy("key", "i", "j").applyInArrow(links, "a bigint, b bigint")
 
 
-def similar_links(table: DataFrame, width: int, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+def similar_links(
+    texts: DataFrame, table: DataFrame, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS, chunk_shingles: int = CHUNK_SHINGLES, shingle: int = SHINGLE_WORDS,
+) -> DataFrame:
     """Links (a, b) that connect what all pairs of nodes connect that share a key and have the similarity.
 
     First every bucket compares its members with its least one, so near copies cost a row each and not all their pairs.
     Then members that are not connected so far meet in every bucket, those of up to ``bucket_rows`` members in a join
     and larger ones chunk by chunk: no pair of a bucket stays unseen unless its ends are connected anyway.
     """
-    keys = similar_keys(table, width).unionByName(table.select("node", F.explode("bands").alias("key")))
+    keys = similar_keys(table).unionByName(table.select("node", F.explode("bands").alias("key")))
     groups = keys.groupBy("key").agg(
         F.count("*").alias("size"), F.min("node").alias("least"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
     ).where("size > 1")
     # of buckets with the same members one is enough
     groups = groups.groupBy("size", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "size", "least")
-    rows = materialise(keys.join(groups, "key"), "similar-buckets")
+    rows = materialise(keys.join(materialise(groups, "similar-groups"), "key"), "similar-buckets")
     met = rows.where("node <> least").selectExpr("least AS a", "node AS b").distinct()
-    links = materialise(_close(met, table, similarity), "similar-links")
+    links = materialise(_close(met, texts, table, similarity, shingle), "similar-links")
     linked = components(links, "a", "b", "similar-first")
     rows = rows.where("size > 2").join(linked, "node", "left").select("key", "node", "size", "least", F.coalesce("component", "node").alias("class"))
     several = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
@@ -246,7 +261,7 @@ def similar_links(table: DataFrame, width: int, similarity: float = SIMILARITY,
     small = rows.where(F.col("size") <= bucket_rows).where("node <> least")
     a, b = (small.selectExpr("key", f"node AS {end}", f"class AS {end}_class") for end in "ab")
     pairs = a.join(b, "key").where("a < b AND a_class <> b_class").select("a", "b").distinct()
-    more = _close(pairs, table, similarity).unionByName(_large_links(rows.where(F.col("size") > bucket_rows), table, similarity, chunk_shingles))
+    more = _close(pairs, texts, table, similarity, shingle).unionByName(_large_links(rows.where(F.col("size") > bucket_rows), texts, table, similarity, chunk_shingles, shingle))
     return links.unionByName(materialise(more, "similar-links")).distinct()
 
 
@@ -257,9 +272,9 @@ def similar_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     such texts link when all their words are equal. Of rows with equal ids the one whose text has the least hash stays, of
     rows equal in id and text any one. All columns stay as they are; an empty table gives none.
     """
-    width = key_width(df.count())
-    table = materialise(sketches(df, id_col, text_col, width, shingle), "similar-sketches")
-    linked = components(similar_links(table, width, similarity), "a", "b", "similar")
+    texts = texts_by_node(df, id_col, text_col)
+    table = materialise(sketches(texts, shingle), "similar-sketches")
+    linked = components(similar_links(texts, table, similarity, shingle=shingle), "a", "b", "similar")
     classes = table.select("node", "id").join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
     first = classes.groupBy("class").agg(F.min(F.struct("id", "node")).alias("first"))
     return keep_rows(df, first.selectExpr("first.id AS id", "first.node AS mark"), id_col, text_col)
