@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalframe.operators.features import fit_quartiles
+from tidalframe.operators.linear_grid import search_settings
 from tidalframe.operators.splitting import stratified_folds
 
 SEED = 42
@@ -101,9 +102,15 @@ def grid_search(
 ) -> tuple[Model, dict, list[float]]:
     """Try every setting on stratified folds, keep the best F1 of class 1 (the first on ties), refit it on all rows.
 
-    Returns the model, its settings and the mean F1 of every candidate in grid order. Folds are assigned
-    once; the folded table is kept in memory or on disk for the fits and released after them.
+    Returns the model, its settings and the mean F1 of every candidate in grid order. Linear candidates are fitted all
+    together, a pass over the rows per step. For others folds are assigned once; the folded table is kept in memory or on
+    disk for the fits and released after them.
     """
+    if name.startswith("Logistic"):
+        options = candidates(name, grid, train.count())
+        means = search_settings(train, [{"l1_ratio": 0.0, **s} if "Elastic" not in name else s for s, _ in options], key, folds, label)
+        best = means.index(max(means))
+        return options[best][1].setLabelCol(label).fit(train), options[best][0], means
     folded = stratified_folds(train, key, label, folds, "fold").persist()
     try:
         options = candidates(name, grid, folded.count())

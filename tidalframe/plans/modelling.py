@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidalframe.functions.labels import bleach_class, encode_label
 from tidalframe.operators import features, metrics, models, scoring, selection, splitting
+from tidalframe.operators.linear_grid import search_settings
 from tidalframe.plans.catalog import query
 from tidalframe.plans.features import CATEGORIES
 from tidalframe.plans.standins import FEATURES, obs, r6, table
@@ -86,14 +87,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# The linear grids of both searches; all their settings and folds are fitted in the same passes.
+LINEAR_GRIDS = {
+    "LogisticElasticNet": models.FIRST_GRIDS["LogisticElasticNet"], "LogisticRegressionClassic": models.FIRST_GRIDS["LogisticRegressionClassic"],
+    "LogisticRegression": models.SECOND_GRIDS["LogisticRegression"],
+}
+
+
 @query("m12_grid_search")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """The whole grid of the classic model: mean F1 on three folds per setting."""
+    """Every setting of the three linear grids: mean F1 on three folds, and the chosen one of each grid, the first of equals."""
     train, _, _, _ = training_set(spark, d)
-    grid = models.SECOND_GRIDS["LogisticRegression"]
-    _, best, means = models.grid_search(train, "LogisticRegression", grid, "row_key", parallelism=4)
-    rows = [(float(c), round(float(f1), 6), c == best["c"]) for c, f1 in zip(grid["c"], means)]
-    return spark.createDataFrame(rows, "c double, f1 double, chosen boolean")
+    settings = [(name, s) for name, grid in LINEAR_GRIDS.items() for s, _ in models.candidates(name, grid, 1)]
+    means = search_settings(train, [s for _, s in settings], "row_key")
+    best = {name: max(f1 for (n, _), f1 in zip(settings, means) if n == name) for name in LINEAR_GRIDS}
+    rows, taken = [], set()
+    for (name, s), f1 in zip(settings, means):
+        rows.append((name, float(s["c"]), float(s.get("l1_ratio", 0.0)), round(f1, 6), f1 == best[name] and name not in taken))
+        taken |= {name} if f1 == best[name] else set()
+    return spark.createDataFrame(rows, "grid string, c double, l1_ratio double, f1 double, chosen boolean")
 
 
 @query("m13_feature_importance")
@@ -121,15 +133,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     full = models.logistic_l2(n).fit(train)
     baseline = metrics.binary_metrics(models.score(full, test)).first()["f1"]
     return selection.sweep_top_k(
-        train, test, _ranking(spark, train, names), lambda: models.logistic_l2(n), ks=(10, 5, 3, 2, 1), baseline_f1=baseline, delta=0.05
+        train, test, _ranking(spark, train, names), lambda: models.logistic_l2(n), baseline_f1=baseline
     )
 
 
 @query("m16_sweep_top_k_tuned")
 def _(spark: SparkSession, d: str) -> DataFrame:
     train, test, names, _ = training_set(spark, d)
+    full = models.logistic_l2(train.count()).fit(train)
+    baseline = metrics.binary_metrics(models.score(full, test)).first()["f1"]
     results, _ = selection.sweep_top_k_tuned(
-        train, test, _ranking(spark, train, names), "LogisticRegression", {"c": [0.1, 1]}, "row_key", ks=(10, 5)
+        train, test, _ranking(spark, train, names), "LogisticRegression", models.SECOND_GRIDS["LogisticRegression"], "row_key", baseline_f1=baseline
     )
     return results
 
