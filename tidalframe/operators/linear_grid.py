@@ -2,7 +2,7 @@
 
 A pass multiplies blocks of rows with the coefficients of all models and adds up, per model, the gradient and the matrix of
 second derivatives; the sums are shuffled by model and position. Coordinate descent on that quadratic, which is as small as
-the features are many, gives the next coefficients. Models that get worse by a step go back half of it.
+the features are many, gives the next coefficients. Models that get worse by a step go back half of it, and models that stand still leave the passes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from tidalframe.session import scratch_path
 # The sums of a model have the square of this many numbers at most; they are what a pass sends to the driver.
 MOST_FEATURES = 2_000
 _ROWS = 4096
+_PAIRED = 100
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -36,7 +37,8 @@ def _sums(rows: DataFrame, b: np.ndarray, out: np.ndarray) -> np.ndarray:
     d, m = b.shape
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((m, 2 + d + d * d))
+        total, upper = np.zeros((m, 2 + d + d * d)), np.triu_indices(d)
+        half = np.zeros((m, len(upper[0]) if d <= _PAIRED else 0))
         for x, y, fold in _blocks(batches):
             z = x @ b
             used = (fold[:, None] != out[None, :]).astype(float)
@@ -45,8 +47,15 @@ def _sums(rows: DataFrame, b: np.ndarray, out: np.ndarray) -> np.ndarray:
             total[:, 1] += ((np.logaddexp(0, z) - y[:, None] * z) * used).sum(axis=0)
             total[:, 2 : 2 + d] += (x.T @ ((p - y[:, None]) * used)).T
             weight = p * (1 - p) * used
-            for j in range(m):
-                total[j, 2 + d :] += (x.T @ (x * weight[:, j : j + 1])).ravel()
+            if d <= _PAIRED:  # all products of two features once, for all models
+                half[:] += ((x[:, upper[0]] * x[:, upper[1]]).T @ weight).T
+            else:
+                for j in range(m):
+                    total[j, 2 + d :] += (x.T @ (x * weight[:, j : j + 1])).ravel()
+        if d <= _PAIRED:
+            whole = np.zeros((m, d, d))
+            whole[:, upper[0], upper[1]] = whole[:, upper[1], upper[0]] = half
+            total[:, 2 + d :] = whole.reshape(m, d * d)
         for j in range(m):
             yield pd.DataFrame({"model": j, "at": np.arange(total.shape[1]), "v": total[j]})
 
@@ -57,8 +66,11 @@ def _sums(rows: DataFrame, b: np.ndarray, out: np.ndarray) -> np.ndarray:
     return total
 
 
-def _descend(g: np.ndarray, h: np.ndarray, b: np.ndarray, l1: float, l2: float, steps: int = 2000) -> np.ndarray:
+def _descend(g: np.ndarray, h: np.ndarray, b: np.ndarray, l1: float, l2: float, steps: int = 300) -> np.ndarray:
     """Least point of g (x - b) + (x - b) h (x - b) / 2 + l1 |x| + l2 x x / 2; the first position, the intercept, has no penalty."""
+    if not l1:  # smooth: one solution of linear equations; the least norm where features say the same
+        penalty = np.diag([0.0, *[l2] * (len(b) - 1)])
+        return b - np.linalg.lstsq(h + penalty, g + penalty @ b, rcond=None)[0]
     x, slope = b.copy(), g.copy()
     for _ in range(steps):
         most = 0.0
@@ -71,12 +83,12 @@ def _descend(g: np.ndarray, h: np.ndarray, b: np.ndarray, l1: float, l2: float,
             if new != x[k]:
                 slope += h[:, k] * (new - x[k])
                 most, x[k] = max(most, abs(new - x[k])), new
-        if most < 1e-13:
+        if most < 1e-10:
             break
     return x
 
 
-def fit_settings(rows: DataFrame, settings: Sequence[tuple[float, float]], out: Sequence[int], steps: int = 100, tolerance: float = 1e-9) -> np.ndarray:
+def fit_settings(rows: DataFrame, settings: Sequence[tuple[float, float]], out: Sequence[int], steps: int = 100, tolerance: float = 1e-7) -> np.ndarray:
     """Coefficients (models x features + 1, intercept first) of every (c, l1_ratio) on the rows (x, label, fold) outside its fold.
 
     ``c`` is the inverse strength of the penalty of a summed loss.
@@ -85,26 +97,24 @@ def fit_settings(rows: DataFrame, settings: Sequence[tuple[float, float]], out:
     if width > MOST_FEATURES:
         raise ValueError(f"{width} features; second derivatives are kept for {MOST_FEATURES} at most")
     d, m, held = width + 1, len(settings), np.array(out)
-    b, last, best = np.zeros((d, m)), None, np.full(m, np.inf)
+    c, ratio = np.array(settings).T
+    b, last, best, open_ = np.zeros((d, m)), np.zeros((d, m)), np.full(m, np.inf), np.arange(m)
     for _ in range(steps):
-        total = _sums(rows, b, held)
-        n, moved = total[:, 0], 0.0
-        c, ratio = np.array(settings).T
-        l1, l2 = ratio / (c * n), (1 - ratio) / (c * n)
-        value = total[:, 1] / n + l1 * np.abs(b[1:]).sum(axis=0) + l2 * (b[1:] ** 2).sum(axis=0) / 2
-        following = b.copy()
-        for j in range(m):
-            if last is not None and value[j] > best[j] + 1e-12:
-                following[:, j] = (b[:, j] + last[:, j]) / 2
+        total = _sums(rows, b[:, open_], held[open_])
+        still = []
+        for at, j in enumerate(open_):
+            n, x = total[at, 0], b[:, j].copy()
+            l1, l2 = ratio[j] / (c[j] * n), (1 - ratio[j]) / (c[j] * n)
+            value = total[at, 1] / n + l1 * np.abs(x[1:]).sum() + l2 * (x[1:] ** 2).sum() / 2
+            if value > best[j] + 1e-10:
+                b[:, j] = (x + last[:, j]) / 2
             else:
-                best[j] = value[j]
-                if last is not None:
-                    last[:, j] = b[:, j]
-                following[:, j] = _descend(total[j, 2 : 2 + d] / n[j], total[j, 2 + d :].reshape(d, d) / n[j], b[:, j], l1[j], l2[j])
-            moved = max(moved, np.abs(following[:, j] - b[:, j]).max())
-        last = b.copy() if last is None else last
-        b = following
-        if moved < tolerance:
+                best[j], last[:, j] = value, x
+                b[:, j] = _descend(total[at, 2 : 2 + d] / n, total[at, 2 + d :].reshape(d, d) / n, x, l1, l2)
+            if np.abs(b[:, j] - x).max() > tolerance * max(1.0, np.abs(x).max()):
+                still.append(j)
+        open_ = np.array(still, int)
+        if not len(open_):
             break
     return b.T
 
