@@ -151,3 +151,30 @@ def test_language_defined_results(spark):
     assert not got[6, "Ж ж ж дли"].accepted and got[6, "Ж ж ж дли"].lang_pred in ("en", "de") and got[1, en[:9]].accepted
     untaught = train(df.where("false")).predict(tests)
     assert {r.lang_pred for r in untaught.collect()} == {"und"} and model.predict(tests.where("false")).count() == 0
+
+
+def plain_entropies(rows, texts):
+    """Languages, and for every text its cross-entropy in each, by dictionaries."""
+    names = sorted({lang for _, lang in rows})
+    models = [PlainModel(Counter(g for t, lang in rows if lang == name for g in text_grams(t.lower()))) for name in names]
+    return names, [[-sum(math.log(m.p(g)) for g in text_grams(t.lower())) / len(text_grams(t)) for m in models] for t in texts]
+
+
+def test_language_models_equal_dictionaries(spark):
+    """All grams are kept and looked up exactly, in arrays and in tables, also many rare ones that a hash table would mix up."""
+    rare = ["".join(chr(0x4E00 + (i * 37 + j * j * 101 + k * 7919) % 20000) for j in range(400)) for k, i in enumerate(range(60))]
+    rows = [("The house and the other words " * 3, "en"), ("and this is a text", "en"), ("das haus und die wörter", "de"), ("ein 😀 text", "de")]
+    rows += [(t, "zh" if i % 2 else "ja") for i, t in enumerate(rare)]
+    texts = ["the text", "das wort", "Über", rare[3], rare[4][::-1], rare[7][:50] + "and the", "zzz", "😀 a"]
+    names, want = plain_entropies(rows, texts)
+    df = spark.createDataFrame(rows, "text string, lang string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "text_no long, text string").selectExpr("*", "'own' AS `row`", "1 AS letters", "2 AS _text")
+    for limit in (1 << 30, 0):
+        model = train(df, model_bytes=limit)
+        assert type(model.models).__name__ == ("CharacterModels" if limit else "ShardedModels") and model.models.languages == names
+        out = model.predict(asked)
+        assert out.columns == [*asked.columns, "lang_pred", "score", "entropy", "accepted"]
+        got = {r.text_no: r for r in out.collect()}
+        for i, entropies in enumerate(want):
+            assert got[i].lang_pred == names[entropies.index(min(entropies))] and got[i].row == "own" and got[i]._text == 2
+            assert got[i].entropy == pytest.approx(min(entropies), rel=1e-4)
