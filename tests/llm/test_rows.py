@@ -171,3 +171,82 @@ def test_decontamination_query_finds_what_is_there(spark):
     for d, i in got:
         words = dict(docs)[d].split()
         assert any(tuple(words[k : k + 6]) in grams[i] for k in range(len(words)))
+
+
+def test_decontamination_of_short_items(spark):
+    """Few own words are not enough for other fillings; wording with arithmetic is."""
+    pad = "some other words stand here in front of it. " * 5
+    items = ["Who is Mary?", "WHAT HAVE SEVEN CARS", "Solve 37 * 12 - 4 = ?"]
+    rows = [
+        (1, pad + "He asked who is Peter and left " + pad), (2, pad + "What Anna said was 7 times as good " + pad), (3, pad + "Solve 41 * 9 - 7 = ? " + pad), (4, pad + "Solve 41 / 9 - 7 = ? " + pad),
+        (5, pad + "He asked who is Mary and left " + pad), (6, pad + "what have seven cars " + pad), (7, pad + "Solve 37 * 12 - 4 = ? " + pad), (8, "Solve it"), (9, "* / = ?"), (10, pad + "Solve 5 * 5 - 5 = ?"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r.id, r.item_id): r.changed for r in contamination(docs, bench).collect()}
+    assert found == {(3, 2): True, (5, 0): False, (6, 1): False, (7, 2): False, (10, 2): True}
+    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [1, 2, 4, 8, 9]
+
+
+def plain_template(text):
+    """Tokens of a text of lower-case words, numbers and names in one sentence, and the filling of each."""
+    out = []
+    for w in text.split():
+        kind = "<number>" if w.isdigit() else "<name>" if w[0].isupper() else w
+        if kind == "<name>" and out and out[-1][0] == kind:
+            out[-1] = (kind, out[-1][1] + " " + w.lower())
+        else:
+            out.append((kind, w.lower()))
+    return out
+
+
+def plain_windows(tokens, length, least):
+    for i in range(len(tokens) - length + 1):
+        w = tokens[i : i + length]
+        own = sum(not k.startswith("<") for k, _ in w)
+        if own >= (2 if len(tokens) == length else least) and own:
+            yield i, tuple(k for k, _ in w), [v for k, v in w if k.startswith("<")]
+
+
+def plain_found(text, item):
+    """By all pairs of windows: None, or whether a filling differs; items with a window full of slots are also looked for word by word."""
+    results = []
+    a, b = plain_template(item), plain_template(text)
+    words, other = [(w.lower(), "") for w in item.split()], [(w.lower(), "") for w in text.split()]
+    full = any(sum(own(x) for x in w[i : i + 10]) < min(5, len(w)) for w, own in ((a, lambda x: x[0][0] != "<"), (item.split(), str.islower)) for i in range(max(1, len(w) - 9)))
+    for mine, theirs, least in ((a, b, 4), (words, other, 0))[: 1 + full]:
+        size = min(10, len(mine))
+        own = list(plain_windows(mine, size, least))
+        lines = {}
+        for i, t, was in own:
+            for j, u, now in plain_windows(theirs, size, least):
+                if t == u:
+                    lines.setdefault(j - i, []).append((i, list(zip(was, now))))
+        for hits in lines.values():
+            filled = {x for _, f in hits for x in f}
+            if len({w for w, _ in filled}) == len(filled) and len({i for i, _ in hits}) >= min(6, -(-len(own) // 2)):
+                results.append(any(w != n for w, n in filled))
+    return min(results) if results else None
+
+
+def test_decontamination_equals_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+
+    def text(n):
+        kinds = [draw.choice(["w", "w", "w", "n", "C"]) for _ in range(n)]
+        return "start " + " ".join({"w": draw.choice(["apple", "river", "stone", "wind"]), "n": str(draw.randrange(3)), "C": draw.choice(["Anna", "Bert"])}[k] for k in kinds)
+
+    items = [text(draw.choice([2, 3, 5, 9, 12, 18])) for _ in range(24)]
+
+    def altered(item):
+        new = {x: draw.choice(["0", "1", "7"]) for x in "012"} | {"Anna": draw.choice(["Anna", "Carl"])}
+        return " ".join(new.get(w, w) if draw.random() < 0.97 else "other" for w in item.split())
+
+    docs = [text(6).lower() + " " + altered(draw.choice(items)) + " " + text(6).lower() for _ in range(150)] + items[:6] + [altered(i) for i in items[:6]]
+    found = contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"))
+    got = {(r.id, r.item_id): r.changed for r in found.collect()}
+    want = {(d, i): c for d, t in enumerate(docs) for i, q in enumerate(items) if (c := plain_found(t, q)) is not None}
+    assert len(want) > 60 and sum(want.values()) > 20
+    assert got == want

@@ -16,8 +16,12 @@ from tidalframe.llm.common import known_id, materialise
 from tidalframe.llm.fragments import rolling
 
 WINDOW = 10
-# Of a window, so many tokens in ten are words of the text itself.
-LEAST_WORDS = 0.5
+# A template window has at least so many tokens of its own (words, marks of arithmetic), one of them a word. With fewer, its words
+# are compared as they stand, or the window has to be the whole text with some tokens of its own.
+LEAST_OWN = 4
+LEAST_WHOLE = 2
+# Items with a window of which fewer are plain words are also looked for word by word.
+PLAIN_SHARE = 0.5
 # An item is found where half its windows match, and always at so many.
 ENOUGH_WINDOWS = 6
 # Benchmark windows whose hashes are sent to all tasks (8 bytes each); a larger benchmark meets the documents in a join of all windows.
@@ -38,13 +42,18 @@ NUMBER_WORDS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _QUANTITY = re.compile(r"([+-]?\d[\d.,]*)([^\W\d_]+|[%$€£°])")
 _EDGES = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
-_WORD, _NUM, _CAP, _UNIT, _NONE = range(5)
+# fixed values: marks that are tokens beside a number, and those that always are
+MARKS = frozenset("* / = × ÷ ^ < >".split())
+SIGNS = frozenset("+ -".split())
+_WORD, _NUM, _CAP, _UNIT, _NONE, _MARK, _SIGN = range(7)
 _SLOTS = {_NUM: "<number>", _CAP: "<name>", _UNIT: "<unit>"}
 _SLOT_HASH = {k: xxhash.xxh3_64_intdigest(v.encode()) for k, v in _SLOTS.items()}
 
 
 def _look(raw: str) -> tuple[int, int, bool]:
     """Kind, hash and end-of-sentence flag of a word as it stands in the text."""
+    if raw in MARKS or raw in SIGNS:
+        return _MARK if raw in MARKS else _SIGN, xxhash.xxh3_64_intdigest(raw.encode()), False
     core = _EDGES.sub("", raw)
     if not core:
         return _NONE, 0, raw[-1] in ".!?:;"
@@ -62,6 +71,10 @@ def _look(raw: str) -> tuple[int, int, bool]:
     return kind, xxhash.xxh3_64_intdigest(low.encode()), raw[-1] in ".!?:;"
 
 
+def _shown(raw: str) -> str:
+    return _EDGES.sub("", raw).lower() or raw
+
+
 class Template:
     """Tokens of a text: hashes in which slots are typed placeholders, which tokens are slots, and the words behind them."""
 
@@ -80,6 +93,8 @@ class Template:
         kind = np.fromiter((x[0] for x in seen), np.int8, len(seen))
         hashes = np.fromiter((x[1] for x in seen), np.uint64, len(seen))
         ends = np.fromiter((x[2] for x in seen), bool, len(seen))
+        number = np.concatenate(([False], kind == _NUM, [False]))
+        kind[(kind == _MARK) & ~(number[:-2] | number[2:])] = _NONE
         real = np.flatnonzero(kind != _NONE)
         opens = np.zeros(len(words) + 1, bool)
         opens[firsts] = True
@@ -95,36 +110,40 @@ class Template:
         again = (kind == _CAP) & np.concatenate(([False], kind[:-1] == _CAP)) if len(kind) else np.zeros(0, bool)
         keep = np.flatnonzero(~again)
         stop = np.append(keep[1:], len(kind))
-        self.slot = kind[keep] != _WORD
-        self.exact, self.plain = hashes, kind == _WORD
+        self.slot, self.word = np.isin(kind[keep], list(_SLOTS)), kind[keep] == _WORD
+        self.exact, self.plain = hashes, (kind == _WORD) | (kind == _SIGN)
         self.hashes = hashes[keep]
         for k, h in _SLOT_HASH.items():
             self.hashes[kind[keep] == k] = h
         self.kind, self._real, self._words, self._keep, self._stop = kind[keep], real, words, keep, stop
 
     def value(self, i: int) -> str:
-        return " ".join(_EDGES.sub("", self._words[self._real[j]]).lower() for j in range(self._keep[i], self._stop[i]))
+        return " ".join(_shown(self._words[self._real[j]]) for j in range(self._keep[i], self._stop[i]))
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows with enough words."""
+        """Starts and hashes of the windows with enough tokens of their own."""
         if len(self.hashes) < length:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        slots = np.cumsum(np.concatenate(([0], self.slot)))
-        starts = np.flatnonzero(length - (slots[length:] - slots[:-length]) >= LEAST_WORDS * length)
+        slots, words = (np.cumsum(np.concatenate(([0], x))) for x in (self.slot, self.word))
+        least = LEAST_WHOLE if len(self.hashes) == length else LEAST_OWN
+        starts = np.flatnonzero((length - (slots[length:] - slots[:-length]) >= least) & (words[length:] > words[:-length]))
         return starts, rolling(self.hashes, length)[starts]
 
     def slotted(self, window: int) -> bool:
         """Whether a window has not enough words, with neighbouring names as one name or as they stand."""
-        length, size = min(window, len(self.hashes)), min(window, len(self.plain))
-        words = np.cumsum(np.concatenate(([0], self.plain)))
-        return len(self.windows(length)[0]) < len(self.hashes) - length + 1 or bool((words[size:] - words[: len(words) - size] < LEAST_WORDS * size).any())
+        for own, least in ((~self.slot, max(LEAST_OWN, PLAIN_SHARE * window)), (self.plain, PLAIN_SHARE * window)):
+            size = min(window, len(own))
+            count = np.cumsum(np.concatenate(([0], own)))
+            if bool((count[size:] - count[: len(count) - size] < min(least, size)).any()):
+                return True
+        return False
 
     def exact_windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of all windows of the words as they stand, lower-cased, whatever their kind."""
         return np.arange(max(0, len(self.exact) - length + 1)), rolling(self.exact, length) if len(self.exact) >= length else np.zeros(0, np.uint64)
 
     def exact_text(self, start: int, length: int) -> str:
-        return " ".join(_EDGES.sub("", self._words[j]).lower() for j in self._real[start : start + length])
+        return " ".join(_shown(self._words[j]) for j in self._real[start : start + length])
 
     def text(self, start: int, length: int) -> str:
         return " ".join(_SLOTS[self.kind[i]] if self.slot[i] else self.value(i) for i in range(start, start + length))
@@ -183,7 +202,8 @@ def contamination(
     ``windows`` of the ``item_windows`` windows of the item are in the document in line with each other, their slots
     filled consistently (equal fillings of the item are equal in the document); ``changed`` says whether a filling
     differs. An item counts as found at half its windows, or at ``ENOUGH_WINDOWS``. Items shorter than the window are one
-    window. An item with a window of too few words of its own (numbers, lists of names, capitals) is also looked for word by word,
+    window. Slots of a window are free to differ if it has ``LEAST_OWN`` tokens of its own, one of them a word, or, as the whole of a
+    document, ``LEAST_WHOLE``: of ``Who is Mary?`` only the words themselves are looked for. Marks of arithmetic beside a number are tokens. An item with a window of too few words of its own (numbers, lists of names, capitals) is also looked for word by word,
     without slots and in any case, by the same count over all its windows; null texts and texts without a word match nothing. ``mark`` is a hash of the text, so rows with equal ids
     stay apart. Null ids are the largest whole number. Other columns are ignored; empty tables give an empty result.
     """
