@@ -47,20 +47,23 @@ MARKS = frozenset("* / = × ÷ ^ < >".split())
 SIGNS = frozenset("+ -".split())
 _WORD, _NUM, _CAP, _UNIT, _NONE, _MARK, _SIGN = range(7)
 _SLOTS = {_NUM: "<number>", _CAP: "<name>", _UNIT: "<unit>"}
+_IS_SLOT = np.array([k in _SLOTS for k in range(7)])
+_LOOKED = np.dtype([("kind", np.int8), ("hash", np.uint64), ("ends", np.bool_)])
 _SLOT_HASH = {k: xxhash.xxh3_64_intdigest(v.encode()) for k, v in _SLOTS.items()}
 
 
 def _look(raw: str) -> tuple[int, int, bool]:
     """Kind, hash and end-of-sentence flag of a word as it stands in the text."""
-    if raw in MARKS or raw in SIGNS:
+    if len(raw) == 1 and (raw in MARKS or raw in SIGNS):
         return _MARK if raw in MARKS else _SIGN, xxhash.xxh3_64_intdigest(raw.encode()), False
-    core = _EDGES.sub("", raw)
+    core = raw if raw.isalpha() else _EDGES.sub("", raw)
     if not core:
         return _NONE, 0, raw[-1] in ".!?:;"
     low = core.lower()
-    if _NUMBER.fullmatch(core) or low in NUMBER_WORDS:
+    letters = core.isalpha()
+    if low in NUMBER_WORDS or (not letters and _NUMBER.fullmatch(core)):
         kind = _NUM
-    elif (m := _QUANTITY.fullmatch(low)) and m[2] in UNITS:
+    elif not letters and (m := _QUANTITY.fullmatch(low)) and m[2] in UNITS:
         kind = _NUM
     elif low in UNITS:
         kind = _UNIT
@@ -75,24 +78,26 @@ def _shown(raw: str) -> str:
     return _EDGES.sub("", raw).lower() or raw
 
 
+class Words(dict):
+    """What ``_look`` says of words, remembered."""
+
+    def __missing__(self, raw: str) -> tuple[int, int, bool]:
+        self[raw] = found = _look(raw)
+        return found
+
+
 class Template:
     """Tokens of a text: hashes in which slots are typed placeholders, which tokens are slots, and the words behind them."""
 
-    def __init__(self, text: str, memory: dict):
+    def __init__(self, text: str, memory: Words):
         words, firsts = [], []
         for line in text.split("\n"):
             firsts.append(len(words))
             words += line.split()
         if len(memory) > _MEMORY:
             memory.clear()
-        seen = []
-        for w in words:
-            if (x := memory.get(w)) is None:
-                x = memory[w] = _look(w)
-            seen.append(x)
-        kind = np.fromiter((x[0] for x in seen), np.int8, len(seen))
-        hashes = np.fromiter((x[1] for x in seen), np.uint64, len(seen))
-        ends = np.fromiter((x[2] for x in seen), bool, len(seen))
+        seen = np.fromiter(map(memory.__getitem__, words), _LOOKED, len(words))
+        kind, hashes, ends = seen["kind"].copy(), seen["hash"].copy(), seen["ends"]
         number = np.concatenate(([False], kind == _NUM, [False]))
         kind[(kind == _MARK) & ~(number[:-2] | number[2:])] = _NONE
         real = np.flatnonzero(kind != _NONE)
@@ -110,7 +115,7 @@ class Template:
         again = (kind == _CAP) & np.concatenate(([False], kind[:-1] == _CAP)) if len(kind) else np.zeros(0, bool)
         keep = np.flatnonzero(~again)
         stop = np.append(keep[1:], len(kind))
-        self.slot, self.word = np.isin(kind[keep], list(_SLOTS)), kind[keep] == _WORD
+        self.slot, self.word = _IS_SLOT[kind[keep]], kind[keep] == _WORD
         self.exact, self.plain = hashes, (kind == _WORD) | (kind == _SIGN)
         self.hashes = hashes[keep]
         for k, h in _SLOT_HASH.items():
@@ -163,7 +168,7 @@ def _windows(batches: Iterator[pa.RecordBatch], lengths: list[int] | None, windo
 
     A negative length is that of windows of the words as they stand; for None they follow where a template window has not enough words.
     """
-    memory: dict = {}
+    memory = Words()
     hashes = known.value if known is not None else None
     for batch in batches:
         rows = []
