@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidalframe.llm.common import NULL_ID
+from tidalframe.llm.fragments import Units, find_fragments, single_windows
 from tidalframe.llm.queries import QUERIES
 from tidalframe.llm.substring_dedup import SuffixAutomaton, substring_dedup
 from tidalframe.llm.suffix_dedup import suffix_dedup
@@ -70,6 +72,33 @@ def test_suffix_equals_brute_force(spark, length):
     assert got == digest(brute(rows, length, octets, True), bytes)
 
 
+@pytest.mark.parametrize("op,window,split,joiner,same", [(substring_dedup, 13, words, b" ".join, False), (suffix_dedup, 100, octets, bytes, True)])
+@pytest.mark.parametrize("most", [0, 20])
+def test_hot_anchors_equal_brute_force(spark, op, window, split, joiner, same, most):
+    """One phrase in every text in other surroundings, repeated passages around it in some."""
+    rng = random.Random(most)
+    some = lambda n: " ".join(rng.choice(["sea", "reef", "coral", "tide", "kelp", "sand"]) + str(rng.randrange(50)) for _ in range(n))
+    phrase, passage = "all of the rights in this text are reserved by us", some(40)
+    rows = [(k * 7 % 1009, f"{some(9)} {phrase} {some(9)}") for k in range(120)]
+    rows += [(2000 + k, f"{some(k % 5)} {passage} {phrase} {passage} {some(6)}") for k in range(20)]
+    rows += [(3000 + k, rows[k][1]) for k in range(10)]
+    got = op(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), most=most)
+    got = {(r.id, r.n_units, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got.collect()}
+    assert got == digest(brute(rows, window, split, same), joiner)
+
+
+def test_hot_anchor_is_spread_over_shards():
+    """The windows of one anchor in other surroundings have keys of their own."""
+    rng = np.random.default_rng(5)
+    phrase = rng.integers(1, 1 << 62, 5, dtype=np.uint64)
+    parts = [np.concatenate((rng.integers(1, 1 << 62, 8, dtype=np.uint64), phrase, rng.integers(1, 1 << 62, 8, dtype=np.uint64))) for _ in range(300)]
+    units = Units(np.concatenate(parts), np.arange(301) * 21, lambda a, b: b"", lambda i, m: b"")
+    lo, hi, _, offset, _ = find_fragments(units, 13, 5)
+    keys = single_windows(units, lo, hi, offset, 13)[2]
+    assert len(keys) == 2700 == len(set(keys.tolist()))
+    assert np.bincount((keys % np.uint64(10)).astype(int)).max() < 400
+
+
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup])
 def test_defined_results(spark, op):
     empty = spark.createDataFrame([], "doc_id bigint, text string")

@@ -4,7 +4,10 @@ Every window of ``length`` units (bytes or words) names one anchor: the leftmost
 least hash. Equal windows name equal grams at equal offsets, so only windows with the same anchor gram can be equal.
 Consecutive windows with one anchor form a fragment, whose text holds all of them.
 
-1. Each block sends its distinct anchor grams; grams seen only once in the corpus are dropped.
+1. Each block sends its distinct anchor grams; grams seen only once in the corpus are dropped. Grams with more distinct
+   fragments than a set number are hot: their fragments are cut into single windows, each an anchor of its own by its
+   hash, and windows seen only once are dropped as well. So a phrase that stands in a third of all texts in
+   other surroundings is spread over all shards.
 2. Each block sends its distinct fragments on the remaining anchors, with the first place (id, start) of each, to the
    shard of the anchor. A solver compares the windows of a shard and answers one bit per window: does it start
    earlier than this first place?
@@ -107,21 +110,46 @@ def find_fragments(units: Units, length: int, gram: int) -> tuple[np.ndarray, ..
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     lo, hi, at = starts[first], starts[last], place[first]
-    whole = rolling(units.hashes, length)
+    return lo, hi, grams[at], at - lo, _content(rolling(units.hashes, length), lo, hi, at)
+
+
+def _content(whole: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the fragments from window ``lo`` to window ``hi`` with the anchor at ``at``."""
     with np.errstate(over="ignore"):
         content = whole[lo] * np.uint64(0xC2B2AE3D27D4EB4F) + whole[hi] * np.uint64(0x165667B19E3779F9)
-        content = (content ^ (content >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64) * np.uint64(1 << 7 | 1) + (at - lo).astype(np.uint64)
-    return lo, hi, grams[at], at - lo, content
+        return (content ^ (content >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (hi - lo).astype(np.uint64) * np.uint64(1 << 7 | 1) + (at - lo).astype(np.uint64)
 
 
-class Block:
-    """Fragments of one block on wanted anchors, and which of them are distinct."""
+def _holds(wanted: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(x), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, x), len(wanted) - 1)] == x
+
 
-    def __init__(self, ids: np.ndarray, units: Units, wanted: np.ndarray, length: int, gram: int, shards: int):
-        lo, hi, anchor, offset, content = find_fragments(units, length, gram)
-        at = np.searchsorted(wanted, anchor)
-        on = wanted[np.minimum(at, len(wanted) - 1)] == anchor if len(wanted) else np.zeros(len(lo), bool)
-        self.lo, self.hi, anchor, offset, content = (x[on] for x in (lo, hi, anchor, offset, content))
+def single_windows(units: Units, lo: np.ndarray, hi: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Every window of the given fragments as a fragment: start, anchor offset, content hash."""
+    n = hi - lo + 1
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = np.repeat(lo + offset, n)
+    return at, place - at, _content(rolling(units.hashes, length), at, at, place) if len(at) else np.zeros(0, np.uint64)
+
+
+class Block:
+    """Fragments of one block on wanted anchors, and which of them are distinct. Wanted windows of hot anchors are fragments."""
+
+    def __init__(self, ids: np.ndarray, units: Units, told: dict, length: int, gram: int, shards: int):
+        found = find_fragments(units, length, gram)
+        on = _holds(_wanted(told["grams"]), found[2])
+        hot = _holds(_wanted(told["hot"]), found[2])
+        lo, hi, anchor, offset, content = (x[on & ~hot] for x in found)
+        if hot.any():
+            at, place, key = single_windows(units, found[0][hot], found[1][hot], found[3][hot], length)
+            one = _holds(_wanted(told["windows"]), key)
+            at, place, key = at[one], place[one], key[one]
+            lo, hi, offset = np.append(lo, at), np.append(hi, at), np.append(offset, place)
+            anchor, content = np.append(anchor, key), np.append(content, key)
+        self.lo, self.hi = lo, hi
         self.row = np.searchsorted(units.bounds, self.lo, side="right") - 1
         self.doc = ids[self.row]
         start = self.lo - units.bounds[self.row]
@@ -140,7 +168,7 @@ class Block:
 
 
 def _wanted(lists) -> np.ndarray:
-    return np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in lists])) if len(lists) else np.zeros(0, np.uint64)
+    return np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in lists])) if lists else np.zeros(0, np.uint64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -153,7 +181,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_GRAMS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("many", pa.binary())])
+_GRAMS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 _SENT = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("fragments", pa.binary())])
 _RESULT = pa.schema([
     ("id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()),
@@ -166,39 +194,61 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("id").to_numpy().astype(np.int64)
 
 
+def _by_shard(block: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    keys, counts, shard = keys[order], counts[order].astype(np.uint32), shard[order]
+    names, begin = np.unique(shard, return_index=True)
+    parts = list(zip(begin, np.append(begin[1:], len(shard))))
+    return _batch(_GRAMS, names.tolist(), [block] * len(parts), [keys[a:b].tobytes() for a, b in parts], [counts[a:b].tobytes() for a, b in parts])
+
+
 def _send_grams(batches, read: Callable, length: int, gram: int, shards: int):
+    """Anchor grams with twice the number of their distinct fragments, plus one if they occur again in the block."""
     for row in _rows(batches):
-        table = unpack(row["payload"])
-        grams, counts = np.unique(find_fragments(read(table), length, gram)[2], return_counts=True)
-        shard = (grams % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        grams, counts, shard = grams[order], counts[order] > 1, shard[order]
-        names, begin = np.unique(shard, return_index=True)
-        parts = list(zip(names, begin, np.append(begin[1:], len(shard))))
-        yield _batch(_GRAMS, [int(s) for s, _, _ in parts], [row["block"]] * len(parts), [grams[a:b].tobytes() for _, a, b in parts], [counts[a:b].tobytes() for _, a, b in parts])
+        _, _, anchor, _, content = find_fragments(read(unpack(row["payload"])), length, gram)
+        grams, again = np.unique(anchor, return_counts=True)
+        one = np.unique(content, return_index=True)[1]
+        distinct = np.bincount(np.searchsorted(grams, anchor[one]), minlength=len(grams))
+        yield _by_shard(row["block"], grams, distinct * 2 + (again > 1), shards)
+
+
+def _send_windows(batches, read: Callable, length: int, gram: int, shards: int):
+    """Windows of hot anchors by their hash."""
+    for row in _rows(batches):
+        units, hot = read(unpack(row["payload"])), _wanted(row["hot"])
+        lo, hi, anchor, offset, _ = find_fragments(units, length, gram)
+        on = _holds(hot, anchor)
+        keys, again = np.unique(single_windows(units, lo[on], hi[on], offset[on], length)[2], return_counts=True)
+        yield _by_shard(row["block"], keys, again > 1, shards)
 
 
-def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
-    """Grams of a shard that occur twice or more, for each block that holds them."""
+def _repeated(frame: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Grams of a shard that occur twice or more, for each block that holds them; hot are those with over ``most`` fragments."""
     grams = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["grams"]])
-    many = np.concatenate([np.frombuffer(x, bool) for x in frame["many"]])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
     owner = np.repeat(np.arange(len(frame)), [len(x) // 8 for x in frame["grams"]])
     order = np.argsort(grams, kind="stable")
-    same = grams[order][1:] == grams[order][:-1]
-    again = many[order]
-    again[1:] |= same
-    again[:-1] |= same
+    new = np.concatenate(([True], grams[order][1:] != grams[order][:-1]))
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    again = ((np.add.reduceat(counts[order] % 2, first) > 0) | (np.bincount(group) > 1))[group]
+    hot = np.zeros(len(grams), bool)
+    hot[order] = (np.add.reduceat(counts[order] // 2, first) > most)[group]
     found = np.sort(order[again])
     names, begin = np.unique(owner[found], return_index=True)
-    ends = np.append(begin[1:], len(found))
-    return pd.DataFrame({"block": frame["block"].to_numpy()[names], "grams": [grams[found[a:b]].tobytes() for a, b in zip(begin, ends)]})
+    parts = [found[a:b] for a, b in zip(begin, np.append(begin[1:], len(found)))]
+    return pd.DataFrame({
+        "block": frame["block"].to_numpy()[names],
+        "grams": [grams[x].tobytes() for x in parts],
+        "hot": [grams[x[hot[x]]].tobytes() or None for x in parts],
+    })
 
 
 def _send_fragments(batches, read: Callable, length: int, gram: int, shards: int):
     for row in _rows(batches):
         table = unpack(row["payload"])
         units = read(table)
-        block = Block(_ids(table), units, _wanted(row["grams"]), length, gram, shards)
+        block = Block(_ids(table), units, row, length, gram, shards)
         names, begin = np.unique(block.shard, return_index=True)
         out = []
         for a, b in zip(begin, np.append(begin[1:], len(block.shard))):
@@ -228,7 +278,7 @@ def _remove(batches, read: Callable, length: int, gram: int, shards: int, same_d
     for row in _rows(batches):
         table = unpack(row["payload"])
         ids, units = _ids(table), read(table)
-        block = Block(ids, units, _wanted(row["grams"] or []), length, gram, shards)
+        block = Block(ids, units, row, length, gram, shards)
         cover = np.zeros(len(units.hashes) + 1, np.int64)
         if len(block.lo):
             answers = {x["shard"]: x["bits"] for x in row["answers"]}
@@ -259,19 +309,27 @@ def _remove(batches, read: Callable, length: int, gram: int, shards: int, same_d
 
 
 def remove_repeats(
-    df: DataFrame, id_col: str, text_col: str, length: int, gram: int, read: Callable[[pa.Table], Units], solver: Callable[[Fragments, int], list[np.ndarray]], name: str, same_doc: bool,
+    df: DataFrame, id_col: str, text_col: str, length: int, gram: int, read: Callable[[pa.Table], Units], solver: Callable[[Fragments, int], list[np.ndarray]], name: str, same_doc: bool, most: int,
 ) -> DataFrame:
     """One row per row of ``df``: id, number of units, units removed, removed spans (in units), what is kept.
 
-    ``same_doc``: a window that starts earlier in the same document counts as earlier too.
+    ``same_doc``: a window that starts earlier in the same document counts as earlier too. ``most``: an anchor
+    with more fragments (distinct ones of each block) is split by window; the result is the same.
     """
     spark = df.sparkSession
     blocks = write_blocks(df.select(known_id(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "text", name)
     shards = max(1, -(-blocks.count() // 4))
     run = dict(read=read, length=length, gram=gram, shards=shards)
-    grams = blocks.mapInArrow(partial(_send_grams, **run), "shard bigint, block bigint, grams binary, many binary")
-    hits = grams.groupBy("shard").applyInPandas(_repeated, "block bigint, grams binary")
-    hits = materialise(hits.groupBy("block").agg(F.collect_list("grams").alias("grams")), f"{name}-grams")
+    table = "shard bigint, block bigint, grams binary, counts binary"
+    repeated = partial(_repeated, most=most)
+    found = "block bigint, grams binary, hot binary"
+    grams = blocks.mapInArrow(partial(_send_grams, **run), table).groupBy("shard").applyInPandas(repeated, found)
+    # of a null in every shard collect_list keeps an empty list
+    grams = materialise(grams.groupBy("block").agg(F.collect_list("grams").alias("grams"), F.collect_list("hot").alias("hot")), f"{name}-grams")
+    hot = blocks.join(grams.where(F.size("hot") > 0).select("block", "hot"), "block")
+    windows = hot.mapInArrow(partial(_send_windows, **run), table).groupBy("shard").applyInPandas(repeated, found)
+    windows = windows.groupBy("block").agg(F.collect_list("grams").alias("windows"))
+    hits = materialise(grams.join(windows, "block", "left"), f"{name}-windows")
     sent = blocks.join(hits, "block").mapInArrow(partial(_send_fragments, **run), "shard bigint, block bigint, fragments binary")
     answers = sent.groupBy("shard").applyInPandas(partial(_solve, solver=solver, length=length), "block bigint, shard bigint, bits binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))

@@ -18,6 +18,8 @@ WINDOW_WORDS = 13
 ANCHOR_WORDS = 5
 # Words in one automaton: about 100 bytes of memory for each state and transition.
 SHARD_WORDS = 40_000
+# Fragments of one anchor that may share an automaton; each has up to 21 words, so they stay near SHARD_WORDS.
+ANCHOR_FRAGMENTS = 2_000
 
 
 class SuffixAutomaton:
@@ -138,13 +140,14 @@ def read_words(table: pa.Table) -> Units:
     return Units(hashes, bounds, lambda a, b: b" ".join(words[a:b]), kept)
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, most: int = ANCHOR_FRAGMENTS) -> DataFrame:
     """Remove every word covered by a ``window``-word run that also starts in a document with a smaller id.
 
     Returns one row per input row: id, n_units (words), n_removed, spans (word positions removed, maximal), kept
     (remaining words joined by one space, UTF-8). A null text has no words; texts shorter than the window lose
     nothing. Rows with a null id count as the last ones. Rows with equal ids never remove words from each other.
-    Other columns are ignored, an empty table gives an empty result.
+    Other columns are ignored, an empty table gives an empty result. ``most`` bounds the fragments of an anchor that meet
+    in one automaton (beyond it they are split by window); it does not change the result.
     """
     gram = max(1, min(ANCHOR_WORDS, window))
-    return remove_repeats(df, id_col, text_col, window, gram, read_words, solve, "substring", same_doc=False)
+    return remove_repeats(df, id_col, text_col, window, gram, read_words, solve, "substring", same_doc=False, most=most)

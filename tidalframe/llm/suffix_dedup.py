@@ -16,6 +16,8 @@ from tidalframe.llm.fragments import Fragments, Units, remove_repeats
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 32
 DIGIT = 8
+# Fragments of one anchor that may be sorted together; each has up to 69 windows.
+ANCHOR_FRAGMENTS = 10_000
 
 
 def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +90,13 @@ def read_bytes(table: pa.Table) -> Units:
     return Units(_BYTE_HASHES[data], bounds, lambda a, b: data[a:b].tobytes(), lambda i, mask: data[bounds[i] : bounds[i + 1]][mask].tobytes())
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_BYTES) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_BYTES, most: int = ANCHOR_FRAGMENTS) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier: smaller id, or same id and earlier start.
 
     Returns one row per input row: id, n_units (bytes of the UTF-8 text), n_removed, spans (byte positions removed,
     maximal), kept (the remaining bytes). A null text is empty; texts shorter than the length lose nothing. Rows with
     a null id count as the last ones. Of rows with equal ids and texts none is earlier than the other. Other columns
-    are ignored, an empty table gives an empty result.
+    are ignored, an empty table gives an empty result. ``most`` bounds the fragments of an anchor that are sorted together
+    (beyond it they are split by window); it does not change the result.
     """
-    return remove_repeats(df, id_col, text_col, length, min(ANCHOR_BYTES, max(1, length // 3)), read_bytes, solve, "suffix", same_doc=True)
+    return remove_repeats(df, id_col, text_col, length, min(ANCHOR_BYTES, max(1, length // 3)), read_bytes, solve, "suffix", same_doc=True, most=most)
