@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidalframe.llm.components import components
+from pyspark.sql import functions as F
+
+from tidalframe.llm.components import SALTS, components
 from tidalframe.llm.embedding_dedup import embedding_classes
 from tidalframe.llm.queries import QUERIES
 from tidalframe.llm.simhash import near_links, simhash_classes, simhash_dedup
@@ -91,6 +93,17 @@ def test_components(spark):
     assert got == {x: root[x] for p in pairs for x in p}
 
 
+def test_components_of_a_star(spark):
+    """Edges of a hub are dealt to many tasks, whether it is the least or the largest node."""
+    n = 20_000
+    for hub in (-1, n):
+        edges = spark.range(n).selectExpr(f"{hub} AS a", "id AS b")
+        got = components(edges, "a", "b", "t").groupBy("component").count().collect()
+        assert [(r[0], r[1]) for r in got] == [(min(hub, 0), n + 1)]
+    dealt = spark.range(n).selectExpr("-1L AS u", "id AS v").groupBy("u", F.pmod(F.xxhash64("v"), F.lit(SALTS))).count()
+    assert dealt.count() == SALTS and dealt.agg(F.max("count")).first()[0] < 2 * n / SALTS
+
+
 def embedding_brute(rows, threshold=0.93):
     def good(v):
         return v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v)

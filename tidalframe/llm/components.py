@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from tidalframe.llm.common import materialise
 
 
+# Tasks that the edges of one node are dealt to.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with ``m``, the least v of u. A hub is minimised part by part, so its edges never meet in one task."""
+    dealt = edges.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("part"))
+    parts = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return dealt.join(parts.select("u", "part").join(least, "u"), ["u", "part"]).drop("part")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node moves to the node's least neighbour."""
+    """Every larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours meet at the least of them (edges run from larger to smaller)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    told = _with_least(edges)
+    moved = told.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return moved.distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +41,7 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Table (node, component) of every node on an edge between different nodes; ``component`` is the least node reachable.
 
     Each round is written to the shared folder, so a lost executor repeats one round at most. Minima are combined before
-    they are shuffled, and joins on a busy hub can be split. Edges with a null end are ignored.
+    they are shuffled, and the edges of a busy hub are dealt to many tasks. Edges with a null end are ignored.
     """
     edges = edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = materialise(edges, f"{name}-edges")
