@@ -120,3 +120,10 @@ def test_equalize_like_a_loop(spark):
 def test_images_never_shuffle(image):
     plan = images.gray_world_then_stretch(image[1])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_equalize_keeps_null_groups_and_values(spark):
+    df = spark.createDataFrame([(1, "g", 0), (2, "g", None), (3, None, 1), (4, None, 1), (5, None, 3)], "i int, g string, v int")
+    got = {r.i: r.equalized for r in images.equalize_by_group(df, "v", ["g"], bins=4, clip=4.0).collect()}
+    assert got[2] is None and got[3] == got[4] and got[5] == 3.0 and sorted(got) == [1, 2, 3, 4, 5]
+    assert got == {r.i: r.equalized for r in images.equalize_by_group(df, "v", ["g"], bins=4, clip=4.0, few_groups=True).collect()}

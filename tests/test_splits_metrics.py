@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidalframe.operators import history, metrics, selection, splitting
+from tidalframe.operators import history, metrics, profiling, selection, splitting
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +99,20 @@ def test_best_and_first_of_results(spark):
     assert selection.pick_by_k(df, 10).first().seq == 2
     assert [r.seq for r in selection.sweep_stop(df, 0.9, 0.05).orderBy("seq").collect()] == [0, 1, 2]
     assert selection.sweep_stop(df, 0.5, 0.05).count() == 4
+
+
+def test_hash_sample_is_bounded_and_keeps_shares(spark):
+    df = spark.range(50_000).selectExpr("id", "id % 5 = 0 AS rare")
+    got = splitting.hash_sample(df, "id", 2_000)
+    n, rare = got.count(), got.where("rare").count()
+    assert 1_800 < n < 2_200 and 0.17 < rare / n < 0.23
+    assert splitting.hash_sample(df, "id", 2_000, 50_000).exceptAll(got).count() == 0
+    assert splitting.hash_sample(df, "id", 60_000).count() == 50_000
+    assert splitting.hash_sample(df.limit(0), "id", 10).count() == 0
+
+
+def test_class_counts_by_table(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "c string")
+    classes = spark.createDataFrame([("a",), ("b",)], "c string")
+    got = {r.c: r.n for r in profiling.class_counts(df, "c", classes).collect()}
+    assert got == {"a": 2, "b": 0} == {r.c: r.n for r in profiling.class_counts(df, "c", ["a", "b"]).collect()}

@@ -43,6 +43,12 @@ def last_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
 
 
+def grid_cells(grid: DataFrame, lat: str = "latitude", lon: str = "longitude", time: str = "time", day: str = "grid_date") -> DataFrame:
+    """Rows of a grid file with the day and the cell they belong to, in place of time and coordinates."""
+    placed = {day: F.to_date(time), "iy": cell_index(F.col(lat), FIRST_LAT), "ix": cell_index(F.col(lon), FIRST_LON)}
+    return grid.withColumns(placed).drop(lat, lon, time)
+
+
 def grid_lookup(
     points: DataFrame, grid: DataFrame, unit: str = "K", lat: str = "lat", lon: str = "lon", day: str = "grid_date",
     order: Sequence[str] = (),

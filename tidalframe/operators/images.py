@@ -7,6 +7,8 @@ its task: no shuffle, whatever the number of images. Local contrast works on lon
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,10 +81,11 @@ def equalize_by_group(
 
     A bin keeps at most ``clip * size / bins`` values (one at least); what is cut off is spread evenly over all bins.
     Values are counted per (group, bin) before any shuffle, and a group's table has ``bins`` rows at most.
+    Rows with a null group are a group of their own; a null value stays null.
     ``few_groups`` checks that all tables together are small and then broadcasts them instead of shuffling the rows.
     """
     keys = list(group)
-    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     sized = hist.withColumn("_size", F.sum("_n").over(whole))
@@ -90,8 +93,9 @@ def equalize_by_group(
     clipped = sized.withColumn("_kept", F.least(F.col("_n"), limit))
     excess = F.col("_size") - F.sum("_kept").over(whole)
     below = F.sum("_kept").over(upto) + excess * (F.col(value) + 1) / bins
-    table = clipped.select(*keys, value, F.round((bins - 1) * below / F.col("_size")).alias(out))
-    return df.join(pin_small(table) if few_groups else table, [*keys, value])
+    table = clipped.select(*[F.col(c).alias(f"_at_{c}") for c in [*keys, value]], F.round((bins - 1) * below / F.col("_size")).alias(out))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys], F.col(value) == F.col(f"_at_{value}"))
+    return df.join(pin_small(table) if few_groups else table, same, "left").drop(*[f"_at_{c}" for c in [*keys, value]])
 
 
 def tile_of(pixel: Column, width: int, height: int, tiles: int = 8) -> Column:

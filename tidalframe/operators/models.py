@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
@@ -156,11 +156,11 @@ def pca_reduce(df: DataFrame, cols: Sequence[str], variance: float = 0.9, out: s
         VectorAssembler(inputCols=[f"filled_{c}" for c in cols], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
     ]).fit(df)
-    full = PCA(k=len(cols), inputCol="scaled", outputCol=out).fit(prepare.transform(df))
+    full = PCA(k=len(cols), inputCol="scaled", outputCol="all_components").fit(prepare.transform(df))
     explained, k = 0.0, 0
     for share in full.explainedVariance.toArray():
         explained, k = explained + share, k + 1
         if explained > variance:
             break
-    reduced = PCA(k=k, inputCol="scaled", outputCol=out).fit(prepare.transform(df))
-    return PipelineModel(stages=[*prepare.stages, reduced]), k
+    first = VectorSlicer(inputCol="all_components", outputCol=out, indices=list(range(k)))
+    return PipelineModel(stages=[*prepare.stages, full, first]), k

@@ -160,9 +160,12 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("percent", F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar())
 
 
-def class_counts(df: DataFrame, col: str, classes: Sequence[str]) -> DataFrame:
-    """Items of every class of a list, zero for a class with none."""
-    spine = df.sparkSession.createDataFrame([(c,) for c in classes], schema=df.select(col).schema)
+def class_counts(df: DataFrame, col: str, classes: Sequence[str] | DataFrame) -> DataFrame:
+    """Items of every class of a list or of a table of different classes, zero for a class with none."""
+    if isinstance(classes, DataFrame):
+        spine = classes.select(col)
+    else:
+        spine = df.sparkSession.createDataFrame([(c,) for c in classes], schema=df.select(col).schema)
     counted = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     return spine.join(counted, col, "left").select(col, F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -30,6 +30,12 @@ def random_split(df: DataFrame, key: str, test_percent: int = 20, seed: int | No
     return df.withColumn(out, F.when(is_test, "test").otherwise("train"))
 
 
+def hash_sample(df: DataFrame, key: str, most: int, rows: int | None = None) -> DataFrame:
+    """About ``most`` rows by key hash, every class at its own share; all rows of a smaller table. ``rows`` is the count if known."""
+    n = df.count() if rows is None else rows
+    return df if n <= most else df.where(key_hash(F.col(key)) < HASH_SPAN * most // n)
+
+
 def hash_order_cuts(df: DataFrame, key: str, cls: str, cuts: dict[str, Column], ranges: int = 4096) -> DataFrame:
     """(cls, cut...): the last (hash, key) of the first ``cut`` rows of every class.
 

@@ -121,7 +121,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return images.local_contrast(pixels(spark, d), WIDTH, HEIGHT)
 
 
-@query("w7_equalize_by_group", f"WITH {OBS_CTE}, binned AS (SELECT obs_no, realm_name, CAST(floor(depth_m) AS INTEGER) AS depth_bin FROM obs WHERE depth_m IS NOT NULL), {_equalize_sql('binned', 'realm_name', 'depth_bin', 64, 2.0)} SELECT b.obs_no, b.realm_name, b.depth_bin, equalized FROM binned b JOIN lut l ON l.realm_name = b.realm_name AND l.b = b.depth_bin")
+@query("w7_equalize_by_group", f"WITH {OBS_CTE}, binned AS (SELECT obs_no, realm_name, CAST(floor(depth_m) AS INTEGER) AS depth_bin FROM obs WHERE depth_m IS NOT NULL), {_equalize_sql('binned', 'realm_name', 'depth_bin', 64, 2.0)} SELECT b.obs_no, b.realm_name, b.depth_bin, equalized FROM binned b LEFT JOIN lut l ON l.realm_name IS NOT DISTINCT FROM b.realm_name AND l.b = b.depth_bin")
 def _(spark: SparkSession, d: str) -> DataFrame:
     binned = obs(spark, d).where("depth_m IS NOT NULL").select("obs_no", "realm_name", F.floor("depth_m").cast("int").alias("depth_bin"))
     return images.equalize_by_group(binned, "depth_bin", ["realm_name"], bins=64, clip=2.0, few_groups=True)

@@ -180,8 +180,8 @@ SELECT c.event_type, CAST(count(e.event_id) AS BIGINT) AS n FROM (SELECT DISTINC
 LEFT JOIN events e ON e.event_type = c.event_type GROUP BY c.event_type""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    names = [r[0] for r in events.select("event_type").distinct().collect()]
-    return profiling.class_counts(events, "event_type", [*names, "never seen"])
+    classes = events.select("event_type").distinct().unionByName(spark.range(1).select(F.lit("never seen").alias("event_type")))
+    return profiling.class_counts(events, "event_type", classes)
 
 
 @query("a22_missing_flags", f"WITH {OBS_CTE} SELECT obs_no, " + ", ".join(

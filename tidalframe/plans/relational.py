@@ -9,8 +9,10 @@ from tidalframe.functions import labels
 from tidalframe.operators import cleaning, enrich, profiling, scoring, selection
 from tidalframe.plans.catalog import query
 from tidalframe.plans.standins import (
-    GRID_CELLS, GRID_CTE, OBS_CTE, REQUESTS_CTE, SITE_POINTS, numbered_events, obs, r6, requests, table, view,
+    GRID_CELLS, GRID_CTE, OBS_CTE, REQUESTS_CTE, SITE_POINTS, numbered_events, obs, plain, r6, requests, table, view,
 )
+from tidalframe.session import scratch_path
+from tidalframe.sources import tables
 
 
 @query("j1_multi_year_rows", f"WITH {OBS_CTE} SELECT obs_no, site_id, obs_year, depth_m FROM obs WHERE site_id IN (SELECT site_id FROM obs GROUP BY site_id HAVING count(DISTINCT obs_year) > 1)")
@@ -53,6 +55,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return found.select("point_id", "grid_date", "iy", "ix", r6("sst"), r6("clim_sst"))
 
 
+_GRID_FILE = """
+SELECT CAST(l_shipdate AS DATE) AS grid_date, l_suppkey % 5 AS iy, l_partkey % 4 AS ix, l_orderkey * 10 + l_linenumber AS seq, 20 + l_discount * 100 AS sst
+FROM {lineitem}"""
+
+
+@query("j5_grid_file_lookup", f"""WITH {GRID_CTE}, rows AS ({plain(_GRID_FILE)}),
+last AS (SELECT grid_date, iy, ix, max_by(sst, struct_pack(seq, sst)) AS sst FROM rows GROUP BY grid_date, iy, ix),
+placed AS (SELECT point_id, grid_date, CAST(round((lat - CAST(-89.975 AS DOUBLE)) / CAST(0.05 AS DOUBLE)) AS BIGINT) AS iy, CAST(round((lon - CAST(-179.975 AS DOUBLE)) / CAST(0.05 AS DOUBLE)) AS BIGINT) AS ix FROM site_points)
+SELECT point_id, p.grid_date, p.iy, p.ix, round(sst + CAST(273.15 AS DOUBLE), 6) AS sst FROM placed p LEFT JOIN last USING (grid_date, iy, ix)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """From the file of a grid, with coordinates, units and several rows a cell, to Kelvin at the points."""
+    path = scratch_path(spark, "grid-file")
+    lines = view(spark, d, _GRID_FILE).select(
+        labels.grid_date_text(F.col("grid_date")).alias("time"), (F.col("iy") * enrich.CELL + enrich.FIRST_LAT).alias("latitude"),
+        (F.col("ix") * enrich.CELL + enrich.FIRST_LON).alias("longitude"), "seq", "sst",
+    )
+    lines = lines.select(*[F.col(c).cast("string").alias(c) for c in lines.columns])
+    units = spark.range(1).select(*[F.lit(u).alias(c) for c, u in zip(lines.columns, ("UTC", "degrees_north", "degrees_east", "", "degree_C"))])
+    units.unionByName(lines).write.option("header", True).csv(path)
+    grid = enrich.grid_cells(tables.read_grid_csv(spark, path))
+    found = enrich.grid_lookup(view(spark, d, SITE_POINTS), grid, unit="C", order=["seq", "sst"])
+    return found.select("point_id", "grid_date", "iy", "ix", r6("sst"))
+
+
 _IMPORTANCE_SQL = "imp AS (SELECT l_partkey AS idx, avg(l_discount) - 0.05 AS importance FROM lineitem GROUP BY l_partkey)"
 
 
