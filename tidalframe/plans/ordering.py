@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from tidalframe.functions.normal import inverse_normal_sql
 from tidalframe.operators import metrics, ordering
 from tidalframe.plans.catalog import query
-from tidalframe.plans.standins import FEATURES, MEASURES, OBS_CTE, SCORES_CTE, obs, r6, scores
+from tidalframe.plans.standins import FEATURES, MEASURES, OBS_CTE, SCORES_CTE, obs, obs_kept, r6, scores
 
 
 @query("w3_average_rank", f"WITH {OBS_CTE} SELECT obs_no, depth_m, CASE WHEN depth_m IS NULL THEN NULL ELSE rank() OVER (ORDER BY depth_m NULLS LAST) + (count(*) OVER (PARTITION BY depth_m) - 1) / 2.0 END AS depth_rank FROM obs")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ordering.average_rank(obs(spark, d).select("obs_no", "depth_m"), "depth_m", "depth_rank")
+    return ordering.average_rank(obs_kept(spark, d, ["obs_no", "depth_m"]), "depth_m", "depth_rank")
 
 
 @query("a10_describe_exact", f"WITH {OBS_CTE} " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, "
     f"round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max FROM obs" for c in MEASURES))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = ordering.describe_exact(obs(spark, d), MEASURES)
+    found = ordering.describe_exact(obs_kept(spark, d, MEASURES), MEASURES)
     return found.select("column", "count", r6("mean"), r6("std"), "min", r6("p25"), r6("p50"), r6("p75"), "max")
 
 
 @query("a13_median_iqr", f"WITH {OBS_CTE} " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3 FROM obs" for c in FEATURES))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return ordering.median_iqr(obs(spark, d), FEATURES).select("column", r6("q1"), r6("median"), r6("q3"))
+    return ordering.median_iqr(obs_kept(spark, d, FEATURES), FEATURES).select("column", r6("q1"), r6("median"), r6("q3"))
 
 
 def _pair_sql(a: str, b: str) -> str:
