@@ -66,3 +66,17 @@ def test_separable_rows_and_too_many_features(spark, monkeypatch):
     monkeypatch.setattr(linear_grid, "MOST_FEATURES", 0)
     with pytest.raises(ValueError, match="features"):
         linear_grid.fit_settings(rows, [(1.0, 0.0)], [-1])
+
+
+def test_few_passes_where_features_add_up(spark, monkeypatch):
+    """Two full sets of 0/1 columns, a penalty that leaves their sums nearly free: exact steps need few passes."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.normal(size=2000), np.eye(5)[rng.integers(0, 5, 2000)], np.eye(6)[rng.integers(0, 6, 2000)]])
+    y = (x[:, 0] + x[:, 1] - x[:, 7] + rng.logistic(size=2000) > 0).astype(float)
+    rows = spark.createDataFrame([(v.tolist(), float(t), i % 3) for i, (v, t) in enumerate(zip(x, y))], "x array<double>, label double, fold int")
+    passes, sums = [], linear_grid._sums
+    monkeypatch.setattr(linear_grid, "_sums", lambda *a: passes.append(1) or sums(*a))
+    for b in linear_grid.fit_settings(rows, [(10.0, 0.2), (10.0, 0.8), (1.0, 0.5)], [-1] * 3):
+        p = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
+        assert np.isfinite(b).all() and abs((p - y).sum()) < 1e-3
+    assert len(passes) <= 12
