@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.functions import labels
-from tidalframe.operators import models, scoring
+from tidalframe.operators import scoring
 from tidalframe.plans.catalog import query
-from tidalframe.plans.modelling import labelled, training_set
+from tidalframe.plans.modelling import fitted, labelled, training_set
 from tidalframe.plans.profiling import RAW_COLUMNS
 from tidalframe.plans.standins import GRID_CELLS, GRID_CTE, OBS_RAW_CTE, SCORES_CTE, obs_raw, scores, view
 from tidalframe.session import scratch_path
@@ -67,12 +67,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("s10_save_load_model", "SELECT CAST(sum(CASE WHEN (l_orderkey + l_linenumber) % 6 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_rows, CAST(0 AS DOUBLE) AS max_difference FROM lineitem")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Scores of a fitted pipeline before saving and after loading, over all rows with a target."""
-    train, _, _, pre = training_set(spark, d)
-    fitted = PipelineModel(stages=[*pre.stages, models.logistic_l2(train.count()).fit(train)])
+    _, _, _, pre = training_set(spark, d)
+    whole = PipelineModel(stages=[*pre.stages, fitted(spark, d, "LogisticRegressionClassic")])
     path = scratch_path(spark, "model")
-    tables.save_model(fitted, path)
+    tables.save_model(whole, path)
     rows = labelled(spark, d).withColumn("split", F.lit("score"))
-    before = scoring.score_tabular(rows, fitted, ["row_key"]).select("row_key", F.col("probability_bleached").alias("a"))
+    before = scoring.score_tabular(rows, whole, ["row_key"]).select("row_key", F.col("probability_bleached").alias("a"))
     after = scoring.score_tabular(rows, tables.load_model(path), ["row_key"]).select("row_key", F.col("probability_bleached").alias("b"))
     return before.join(after, "row_key").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_difference")
