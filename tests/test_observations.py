@@ -6,8 +6,8 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
 
-from tidalframe.operators import selection
-from tidalframe.plans import catalog, standins
+from tidalframe.operators import models, selection
+from tidalframe.plans import catalog, modelling, standins
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,14 @@ def test_equal_choices_of_features_are_fitted_once(spark):
     made = []
     out = selection.sweep_top_k(rows, rows, ranking, lambda: made.append(1) or LogisticRegression(maxIter=20), ks=(50, 30, 2, 1))
     assert [r.k for r in out.orderBy("seq").collect()] == [50, 30, 2, 1] and len(made) == 2
+
+
+def test_classifiers_side_by_side_equal_single_ones(spark, folder, monkeypatch):
+    catalog.load_all()
+    small = {"RandomForest": lambda: models.random_forest(3, 3), "GradientBoosting": lambda: models.gradient_boosting(2), "XGBoost": lambda: models.boosted_subsampled(2, max_depth=2)}
+    monkeypatch.setattr(modelling, "TREE_MODELS", small)
+    found = {r.model: r for r in catalog.QUERIES["a23_fitted_models"](spark, folder).collect()}
+    assert sorted(found) == sorted([*small, *modelling.LINEAR_MODELS]) and modelling.fit_sample(spark, folder).is_cached
+    for name, query in (("RandomForest", "m7_random_forest"), ("LogisticElasticNet", "m10_logistic_elastic_net")):
+        card = catalog.QUERIES[query](spark, folder)
+        assert card.collect() == [found[name]] and not [f for f in card.inputFiles() if "training" in f]
