@@ -8,7 +8,7 @@ import xxhash
 
 from tests.llm.test_near import classes
 from tidalframe.llm.simhash_similar import (
-    BITS, SEGMENTS, WILDCARDS, WORDS, bit_counts, shingle_hashes, similar_dedup, similar_keys, similar_links, sketch, sketches, texts_by_node,
+    BITS, SEGMENTS, WILDCARDS, WORDS, bit_counts, shared_keys, shingle_hashes, similar_dedup, similar_keys, similar_links, sketch, sketches, texts_by_node,
 )
 
 SMALL = "/root/testdata/sf0.001"
@@ -153,3 +153,23 @@ def test_defined_results(spark):
     )
     assert similar_dedup(df.where("false")).count() == 0
     assert len(shingle_hashes("a b c d e f a b c d e")) == 6  # seven windows, one twice
+
+
+def test_keys_are_shuffled_once(spark, capsys):
+    """Buckets with all their members, by one shuffle of (node, key)."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(["a b c d e f g h"] * 3 + [rng.choice("xyz")])) for k in range(12)] + [(50, "alone"), (51, None), (52, "")]
+    table = sketches(texts_by_node(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text"))
+    table = spark.createDataFrame(table.collect(), table.schema)
+    nodes = {}
+    for r in similar_keys(table).collect() + [r for t in table.collect() for r in [(t.node, k) for k in t.bands]]:
+        nodes.setdefault(r[1], set()).add(r[0])
+    want = {k: v for k, v in nodes.items() if len(v) > 1}
+    found = shared_keys(table)
+    found.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.key, set()).add(r.node)
+        assert (r["size"], r.least) == (len(want[r.key]), min(want[r.key]))
+    assert got == want and len(want) > 20
