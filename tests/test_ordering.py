@@ -132,3 +132,14 @@ def test_a_wrong_sketch_is_never_a_wrong_result(spark):
     df = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS x")
     with pytest.raises(Exception, match="sketch"):
         ordering.percentiles_between(df, {"x": (100_000, [10.0, 20.0] * 5)}, (0.5,)).collect()
+
+
+def test_the_column_of_most_values_meets_its_ranks_first(spark, capsys):
+    """Its join may shuffle the rows, which then carry no ranks of other columns yet."""
+    df = spark.range(400).selectExpr("double(id % 3) AS few", "double(id % 40) AS some", "double(id * 7 % 400) AS most")
+    matrix = ordering.spearman_matrix(df, ["few", "some", "most"])
+    matrix.explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert [next(c for c in ("few", "some", "most") if f"{c}#" in line) for line in joins] == ["few", "some", "most"]
+    assert matrix.count() == 9
