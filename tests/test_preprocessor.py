@@ -81,3 +81,31 @@ def test_a_column_of_very_many_values(spark):
     model = ObservationPreprocessor(categorical=["v", "n"]).fit(df)
     sizes = model.transform(df.where("id IN (0, 299999)")).orderBy("id").collect()
     assert [(r.features.size, r.features.indices.tolist()) for r in sizes] == [(200_002, [0, 200_001]), (200_002, [200_000, 200_001])]
+
+
+def test_a_column_of_few_values_beside_one_of_many(spark, rows, monkeypatch):
+    """Only the column of many values may shuffle the rows, though both are in one dictionary."""
+    monkeypatch.setattr(dictionary, "FEW_VALUES", 10, raising=False)
+    model = ObservationPreprocessor(**STAGE).fit(rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = model.transform(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") == plan.count("SortMergeJoin") == 1
+
+
+def test_vectors_hold_the_entries_of_every_row(spark):
+    """More rows than a batch has, odd numbers and unknown categories; no text on the way."""
+    odd = "CASE id % 9 WHEN 0 THEN double('NaN') WHEN 1 THEN double('inf') WHEN 2 THEN double('-inf') WHEN 3 THEN NULL WHEN 4 THEN -0.0D WHEN 5 THEN 1e-300D ELSE id / 7 END AS x"
+    df = spark.range(0, 25_000, 1, 1).selectExpr("id", odd, "IF(id % 4 = 0, NULL, CONCAT('k', id % 6)) AS k", "id % 300 AS site")
+    fitted = df.selectExpr("double(id % 5 - 2) AS x", "k", "site").where("site < 200 AND k > 'k1'")
+    model = ObservationPreprocessor(numeric=["x"], categorical=["k", "site"]).fit(fitted)
+    out = model.transform(df)
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    checked = model.entries(out.select("*", F.unwrap_udt("features").alias("v")), "e")
+    same = f"v.type = 0 AND v.size = {model.size()} AND v.indices = transform(e, y -> int(y.index)) AND v.values = transform(e, y -> y.value)"
+    assert checked.where(same).count() == 25_000
+    assert {len(r.indices) for r in checked.selectExpr("v.indices").distinct().collect()} == {1, 2, 3}
+    assert math.copysign(1, out.where("id = 4").first().features.values[0]) == -1

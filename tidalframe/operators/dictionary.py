@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tidalframe.session import default_buckets, scratch_path
 
 
+# A column of so few values meets the rows where they are, whatever other columns its dictionary has.
+FEW_VALUES = 10_000
+
+
 def category_key(value: Column) -> Column:
     """A category as a text that is never null: ``=`` before a value, ``~`` for null, which sorts behind all values."""
     return F.when(value.isNull(), "~").otherwise(F.concat(F.lit("="), value.cast("string")))
@@ -43,11 +47,13 @@ def category_widths(dictionary: DataFrame, cols: Sequence[str]) -> list[int]:
     return [found.get(c, 0) for c in cols]
 
 
-def add_category_index(df: DataFrame, dictionary: DataFrame, col: str, out: str) -> DataFrame:
+def add_category_index(df: DataFrame, dictionary: DataFrame, col: str, out: str, width: int | None = None) -> DataFrame:
     """``df`` with the index of a column's value, null for a value the dictionary does not have.
 
-    Spark sees the size of this column's part of the dictionary: a small one meets the rows where they are, a large one in a
-    shuffle whose busy values it can split.
+    Spark plans with the size of the whole dictionary, so a column of few values beside one of many needs its ``width``, the
+    number of its values, to stay clear of a shuffle of all rows. A large column meets them in one whose busy values Spark can split.
     """
     side = dictionary.where(F.col("column") == col).select(F.col("key").alias(f"_key_{out}"), F.col("index").alias(out))
+    if width is not None and width <= FEW_VALUES:
+        side = F.broadcast(side)
     return df.join(side, category_key(F.col(col)) == F.col(f"_key_{out}"), "left").drop(f"_key_{out}")

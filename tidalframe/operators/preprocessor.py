@@ -6,8 +6,10 @@ so a table that arrives later is prepared by what was stored, never by its own m
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.linalg import VectorUDT
@@ -15,7 +17,6 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from tidalframe.functions.timefeatures import month_cos, month_sin
 from tidalframe.operators.dictionary import add_category_index, category_widths, number_categories
@@ -32,6 +33,27 @@ def _free(name: str, columns: Sequence[str]) -> str:
     return name
 
 
+def _vectors(numbers: int, size: int) -> Callable[..., pa.Array]:
+    """A function that makes a column of sparse vectors, as they are stored, from that many columns of numbers and the indices of categories."""
+
+    def build(*columns: pa.Array) -> pa.Array:
+        rows = len(columns[0])
+        index, value = np.empty((rows, len(columns)), np.int64), np.ones((rows, len(columns)))
+        filled = np.ones((rows, len(columns)), bool)
+        for i, c in enumerate(columns):
+            if i < numbers:
+                index[:, i], value[:, i] = i, c.to_numpy(zero_copy_only=False)
+            else:
+                index[:, i], filled[:, i] = c.fill_null(0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.zeros(rows + 1, np.int32)
+        np.cumsum(filled.sum(axis=1), out=ends[1:])
+        places, values = pa.array(index[filled]).cast(pa.int32()), pa.array(value[filled])
+        parts = [np.zeros(rows, np.int8), np.full(rows, size, np.int32)]
+        return pa.StructArray.from_arrays([*map(pa.array, parts), pa.ListArray.from_arrays(ends, places), pa.ListArray.from_arrays(ends, values)], names=["type", "size", "indices", "values"])
+
+    return build
+
+
 class _Columns(Params):
     numeric = Param(Params._dummy(), "numeric", "numbers to impute and scale", TypeConverters.toListString)
     categorical = Param(Params._dummy(), "categorical", "columns to encode", TypeConverters.toListString)
@@ -106,29 +128,31 @@ class ObservationPreprocessorModel(Model, _Columns, MLReadable, MLWritable):
     def size(self) -> int:
         return len(self._numbers()) + sum(self.getOrDefault("widths"))
 
-    def entries(self, df: DataFrame, out: str = "entries") -> DataFrame:
-        """``df`` with the filled positions of the feature vector: array of (index, value), ascending."""
-        numbers = self._numbers()
-        begin, parts = len(numbers), [F.struct(F.lit(i).cast("bigint").alias("index"), v.cast("double").alias("value")) for i, (_, v) in enumerate(numbers)]
-        columns = list(df.columns)
+    def _placed(self, df: DataFrame) -> tuple[DataFrame, list[Column], list[Column]]:
+        """``df`` with the index of each category, the values of the numbers, and the position of each category or null."""
+        numbers, places, columns = [v.cast("double") for _, v in self._numbers()], [], list(df.columns)
+        begin = len(numbers)
         for i, (c, width) in enumerate(zip(self.getOrDefault("categorical"), self.getOrDefault("widths"))):
             name = _free(f"_ix{i}", columns)
-            df = add_category_index(df, self.dictionary, c, name)
-            parts.append(F.when(F.col(name).isNotNull(), F.struct((F.col(name) + begin).alias("index"), F.lit(1.0).alias("value"))))
+            df = add_category_index(df, self.dictionary, c, name, width)
+            places.append(F.col(name) + begin)
             begin += width
+        return df, numbers, places
+
+    def entries(self, df: DataFrame, out: str = "entries") -> DataFrame:
+        """``df`` with the filled positions of the feature vector: array of (index, value), ascending."""
+        columns = list(df.columns)
+        df, numbers, places = self._placed(df)
+        parts = [F.struct(F.lit(i).cast("bigint").alias("index"), v.alias("value")) for i, v in enumerate(numbers)]
+        parts += [F.when(p.isNotNull(), F.struct(p.alias("index"), F.lit(1.0).alias("value"))) for p in places]
         return df.select(*columns, F.filter(F.array(*parts), lambda x: x.isNotNull()).alias(out))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         columns = list(df.columns)
-        name = _free("_entries", columns)
-        filled = self.entries(df, name)
-        # a sparse vector is read from its parts, inside the JVM: there is no built-in function that makes one
-        parts = F.struct(
-            F.lit(0).alias("type"), F.lit(self.size()).alias("size"),
-            F.transform(name, lambda e: e["index"]).alias("indices"), F.transform(name, lambda e: e["value"]).alias("values"),
-        )
-        vector = F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
-        return filled.select(*columns, vector.alias(self.getOrDefault("outputCol")))
+        df, numbers, places = self._placed(df)
+        # there is no built-in function that makes a sparse vector: its parts are put together a batch of rows at a time
+        vector = F.arrow_udf(_vectors(len(numbers), self.size()), VectorUDT())(*numbers, *places)
+        return df.select(*columns, vector.alias(self.getOrDefault("outputCol")))
 
     def feature_names(self, spark: SparkSession) -> DataFrame:
         """(idx, name) of every position; names need not differ, positions do."""
