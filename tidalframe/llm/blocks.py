@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidalframe.llm.common import partitions, table_path
+from tidalframe.llm.common import in_scope, partitions, table_path
 
 BLOCK_BYTES = 2 << 20
 _SCHEMA = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
@@ -61,14 +61,18 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iter
 def write_blocks(df: DataFrame, text: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Table (block, payload): every row of ``df`` is in one block of about ``block_bytes`` of text.
 
-    Its files lie below the shared folder, so the table outlives any executor; ``drop_blocks`` takes it out of the catalog.
+    Its files lie below the shared folder, so the table outlives any executor. In a scope its name stays in the catalog until the
+    scope is removed, else it goes at once: the files stay, and the result reads them.
     """
     spark, buckets = df.sparkSession, partitions(df.sparkSession)
     table = f"blocks_{name}_{uuid.uuid4().hex}"
     packed = df.mapInArrow(partial(_pack_rows, text=text, limit=block_bytes), "block bigint, payload binary")
     path = table_path(spark, f"blocks-{name}", table)
     packed.repartition(buckets, "block").write.format("parquet").option("compression", "uncompressed").option("path", path).bucketBy(buckets, "block").saveAsTable(table)
-    return spark.table(table)
+    blocks = spark.table(table)
+    if not in_scope():
+        spark.sql(f"DROP TABLE {table}")
+    return blocks
 
 
 def drop_blocks(spark, name: str) -> None:

@@ -36,6 +36,11 @@ def scratch_scope(spark: SparkSession, name: str) -> Iterator[str]:
         _scope.reset(token)
 
 
+def in_scope() -> bool:
+    """Whether tables are written in a scope, which takes them out of the catalog when it is removed."""
+    return _scope.get() is not None
+
+
 def remove_scratch(spark: SparkSession, folder: str) -> None:
     """Remove a scope, or a table of ``materialise``, whose rows are no longer read."""
     for table in _tables.pop(folder, []):
