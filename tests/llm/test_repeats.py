@@ -4,12 +4,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidalframe.llm import substring_dedup as substring_module
 from tidalframe.llm.common import NULL_ID
-from tidalframe.llm.fragments import Units, find_fragments, single_windows
+from tidalframe.llm.fragments import Fragments, Units, find_fragments, single_windows
 from tidalframe.llm.queries import QUERIES
-from tidalframe.llm.substring_dedup import SuffixAutomaton, substring_dedup
+from tidalframe.llm.substring_dedup import SuffixAutomaton, read_words, solve, substring_dedup
 from tidalframe.llm.suffix_dedup import suffix_dedup
 
 SMALL = "/root/testdata/sf0.001"
@@ -119,6 +121,49 @@ def test_automaton_owners():
     assert a.least_owners("zabcabx", 3) == [NULL_ID, 3, 7, 7, NULL_ID]
 
 
+def test_words_are_read_together(monkeypatch):
+    """Words as bytes.split() has them, equal hashes for equal words only; no call for each word but very long ones."""
+    calls, one = [], substring_module.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(substring_module.xxhash, "xxh3_64_intdigest", lambda x: calls.append(1) or one(x))
+    rng = random.Random(3)
+    docs = ["", "end", "begin next", " \t\n\x0b\x0c\r ", "a\x1cb\x85c\u00a0d  e\n", "\0 \0\0 \0a a a\0 \0a\0", "last"]
+    docs += [" ".join("x" * n + end for n in range(200) for end in ("", "y", "\0"))]
+    docs += ["".join(rng.choice("ab\0é \t\n") for _ in range(rng.randrange(90))) for _ in range(300)]
+    table = pa.table({"text": pa.array(docs)}).slice(1)
+    units = read_words(table)
+    split = [t.encode().split() for t in docs[1:]]
+    flat = [w for doc in split for w in doc]
+    assert units.bounds.tolist() == np.cumsum([0] + [len(doc) for doc in split]).tolist()
+    assert units.cut(np.arange(len(flat)), np.arange(1, len(flat) + 1)) == flat
+    assert len(set(units.hashes.tolist())) == len(set(flat)) == len(set(zip(units.hashes.tolist(), flat)))
+    for i, doc in enumerate(split):
+        assert units.kept(i, np.ones(len(doc), bool)) == b" ".join(doc)
+        assert units.kept(i, np.arange(len(doc)) % 3 == 1) == b" ".join(doc[1::3])
+    assert len(calls) == sum(len(w) > 64 for w in flat)
+
+
+def test_automata_hold_one_anchor(monkeypatch):
+    """Fragments of other anchors cannot share a window, so they do not share an automaton."""
+    built = []
+
+    class Seen(SuffixAutomaton):
+        def __init__(self):
+            super().__init__()
+            built.append([])
+
+        def add(self, sequence, owner):
+            built[-1].append(b" ".join(sequence))
+            super().add(sequence, owner)
+
+    monkeypatch.setattr(substring_module, "SuffixAutomaton", Seen)
+    texts = [b"a b c d", b"x b c d", b"p q r", b"a b c d", b"p q r"]
+    anchor, doc = np.array([7, 7, 9, 7, 9], np.uint64), np.array([5, 3, 8, 4, NULL_ID])
+    windows = np.array([2, 2, 1, 2, 1], np.int32)
+    late = solve(Fragments(anchor, windows, windows, doc, doc, texts), 3)
+    assert [x.tolist() for x in late] == [[True, True], [False, False], [False], [False, True], [True]]
+    assert sorted(map(sorted, built)) == [[b"a b c d", b"x b c d"], [b"p q r"]]
+
+
 @pytest.mark.parametrize("name,window,split,joiner,same", [("op4_substring_dedup", 13, words, b" ".join, False), ("op8_suffix_array_dedup", 100, octets, bytes, True)])
 def test_queries_equal_brute_force(spark, name, window, split, joiner, same):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]

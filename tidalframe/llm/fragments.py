@@ -40,11 +40,14 @@ _WRAP = (1 << 64) - 1
 
 @dataclass
 class Units:
-    """Documents of one block as a run of hashed units; document i holds units bounds[i]:bounds[i + 1]."""
+    """Documents of one block as a run of hashed units; document i holds units bounds[i]:bounds[i + 1].
+
+    ``cut`` gives the texts of unit runs, ``kept`` what a mask leaves of a document.
+    """
 
     hashes: np.ndarray
     bounds: np.ndarray
-    cut: Callable[[int, int], bytes]
+    cut: Callable[[np.ndarray, np.ndarray], list[bytes]]
     kept: Callable[[int, np.ndarray], bytes]
 
 
@@ -60,6 +63,15 @@ class Fragments:
     texts: list[bytes] = field(default_factory=list)
 
 
+def read_octets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts in a row, and where each begins and the last one ends."""
+    column = table.column("text").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return data, bounds - bounds[0]
+
+
 def rolling(x: np.ndarray, length: int) -> np.ndarray:
     """Polynomial hash (modulo 2^64) of every run of ``length`` values."""
     out, held, power, size = None, 0, x, 1
@@ -253,7 +265,7 @@ def _send_fragments(batches, read: Callable, length: int, gram: int, shards: int
         out = []
         for a, b in zip(begin, np.append(begin[1:], len(block.shard))):
             f = block.first[a:b]
-            texts = [units.cut(x, y + length) for x, y in zip(block.lo[f].tolist(), block.hi[f].tolist())]
+            texts = units.cut(block.lo[f], block.hi[f] + length)
             sent = (block.anchor[f], block.offset[f].astype(np.int32), block.windows[f].astype(np.int32), block.doc[f], block.start[f], np.array([len(t) for t in texts], np.int32), b"".join(texts))
             out.append(zstandard.ZstdCompressor(3).compress(pickle.dumps(sent)))
         yield _batch(_SENT, names.tolist(), [row["block"]] * len(names), out)

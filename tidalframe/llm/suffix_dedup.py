@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidalframe.llm.fragments import Fragments, Units, remove_repeats
+from tidalframe.llm.fragments import Fragments, Units, read_octets, remove_repeats
 
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 32
@@ -82,12 +82,9 @@ _BYTE_HASHES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 6
 
 
 def read_bytes(table: pa.Table) -> Units:
-    column = table.column("text").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-    bounds = bounds - bounds[0]
-    return Units(_BYTE_HASHES[data], bounds, lambda a, b: data[a:b].tobytes(), lambda i, mask: data[bounds[i] : bounds[i + 1]][mask].tobytes())
+    data, bounds = read_octets(table)
+    cut = lambda a, b: [data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())]
+    return Units(_BYTE_HASHES[data], bounds, cut, lambda i, mask: data[bounds[i] : bounds[i + 1]][mask].tobytes())
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_BYTES, most: int = ANCHOR_FRAGMENTS) -> DataFrame:
