@@ -8,6 +8,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
+from tidalframe.llm import simhash
 from tidalframe.llm.components import SALTS, components
 from tidalframe.llm.embedding_dedup import embedding_classes
 from tidalframe.llm.queries import QUERIES
@@ -162,3 +163,19 @@ def test_embedding_query(spark):
     got = sorted(tuple(r) for r in QUERIES["op7_embedding_dedup"](spark, SMALL).collect())
     assert [(a, b, c) for a, b, c, _ in got] == embedding_brute(rows)
     assert all(k == (a == c) for a, _, c, k in got)
+
+
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes a table of many variants a row like the rows themselves, so small ones would all look fit for a broadcast."""
+    plans, kept = [], simhash.materialise
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    prints = spark.createDataFrame([(i * 7919 << 20,) for i in range(300)], "fingerprint bigint")
+    links = simhash.near_links(prints, bucket_rows=16)
+    plans.append(links._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 2 and "SortMergeJoin" in plans[0]
+    assert not [p for p in plans if "Broadcast" in p]

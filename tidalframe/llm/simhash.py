@@ -86,12 +86,13 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = B
     for width in (64, 32, 16):
         keyed = _variants(rows, width)
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        keyed = materialise(keyed.join(sizes, "key"), "simhash-buckets")
+        # Spark takes an exploded table for as small as what it is made from and would broadcast it: neither side may be
+        keyed = materialise(keyed.join(sizes.hint("merge"), "key"), "simhash-buckets")
         small = keyed if width == 16 else keyed.where(F.col("n") <= bucket_rows)
         left = small.where("side <> 1").select("key", "side", F.col("fp").alias("a"))
         right = small.where("side <> 0").select("key", F.col("side").alias("other"), F.col("fp").alias("b"))
         close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & (F.when(F.col("side") == 2, (F.col("other") == 2) & (F.col("a") < F.col("b"))).otherwise(F.col("other") == 1))
-        found.append(left.join(right, (left["key"] == right["key"]) & close).select("a", "b"))
+        found.append(left.join(right.hint("merge"), (left["key"] == right["key"]) & close).select("a", "b"))
         rows = keyed.where(F.col("n") > bucket_rows).selectExpr("fp", "key AS bucket", "rest AS lo").distinct()
         if width == 16 or rows.isEmpty():
             break
