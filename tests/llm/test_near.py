@@ -174,7 +174,7 @@ def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
         return kept(df, name)
 
     monkeypatch.setattr(simhash, "materialise", seen)
-    prints = spark.createDataFrame([(i * 7919 << 20,) for i in range(300)], "fingerprint bigint")
+    prints = spark.range(300).selectExpr("shiftleft(id * 7919, 20) AS fingerprint")
     links = simhash.near_links(prints, bucket_rows=16)
     plans.append(links._jdf.queryExecution().executedPlan().toString())
     assert len(plans) >= 2 and "SortMergeJoin" in plans[0]
