@@ -80,3 +80,17 @@ def test_few_passes_where_features_add_up(spark, monkeypatch):
         p = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
         assert np.isfinite(b).all() and abs((p - y).sum()) < 1e-3
     assert len(passes) <= 12
+
+
+def test_models_near_each_other_share_their_passes(rows, monkeypatch):
+    """Settings of a fold start where its most penalised model nearly stands still, so most passes are for a model a fold."""
+    apart, sums = [], linear_grid._sums
+
+    def seen(rows, b, out, *more):
+        apart.append(len({(f, *column) for f, column in zip(out, b.T)}))
+        return sums(rows, b, out, *more)
+
+    monkeypatch.setattr(linear_grid, "_sums", seen)
+    settings = [(c, ratio) for c in (1e3, 1e4, 1e5, 1e6) for ratio in (0.0, 0.2, 0.5, 0.8)]
+    linear_grid.fit_settings(rows, [s for s in settings for _ in range(3)], [0, 1, 2] * len(settings))
+    assert len([n for n in apart if n > 3]) <= 4 and sum(apart) < len(apart) * 24
