@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from tidalframe.operators import linear_grid
-from tidalframe.operators.models import logistic_elastic_net
+from tidalframe.operators import linear_grid, selection
+from tidalframe.operators.metrics import binary_metrics
+from tidalframe.operators.models import logistic_elastic_net, score
 
 SETTINGS = [(0.01, 0.0), (1.0, 0.0), (100.0, 0.0), (0.1, 0.5), (0.02, 1.0), (10.0, 0.8)]
 
@@ -94,3 +95,20 @@ def test_models_near_each_other_share_their_passes(rows, monkeypatch):
     settings = [(c, ratio) for c in (1e3, 1e4, 1e5, 1e6) for ratio in (0.0, 0.2, 0.5, 0.8)]
     linear_grid.fit_settings(rows, [s for s in settings for _ in range(3)], [0, 1, 2] * len(settings))
     assert len([n for n in apart if n > 3]) <= 4 and sum(apart) < len(apart) * 24
+
+
+def test_a_sweep_folds_once_and_refits_on_all_rows(spark, data, monkeypatch):
+    x, y, _ = data
+    train = spark.createDataFrame([(i, Vectors.dense(v[:4].tolist()), float(t)) for i, (v, t) in enumerate(zip(x, y))], ["key", "features", "label"])
+    ranking = spark.createDataFrame([(1, "b", 3.0), (0, "a", 2.0), (3, "d", 0.2), (2, "c", 0.1)], "idx int, name string, importance double")
+    folded, folds = [], linear_grid.stratified_folds
+    monkeypatch.setattr(linear_grid, "stratified_folds", lambda *a: folded.append(1) or folds(*a))
+    found, models = selection.sweep_top_k_tuned(train, train, ranking, "LogisticRegression", {"c": [0.1, 1]}, "key", ks=(4, 2))
+    assert len(folded) == 1
+    for (k, model), row in zip(models.items(), found.orderBy("seq").collect()):
+        used = [0, 1] if k == 2 else [0, 1, 2, 3]
+        vectors = spark.createDataFrame([(Vectors.dense(v[used].tolist()), float(t)) for v, t in zip(x, y)], ["features", "label"])
+        spark_model = logistic_elastic_net(900, eval(row.settings)["c"], 0.0, tol=1e-12).fit(vectors)
+        assert np.allclose(model.coefficients.toArray(), spark_model.coefficients.toArray(), atol=2e-3)
+        assert abs(model.intercept - spark_model.intercept) < 2e-3 and model.getRegParam() == spark_model.getRegParam()
+        assert row.f1 == pytest.approx(binary_metrics(score(spark_model, vectors)).first()["f1"], abs=5e-3)
