@@ -112,3 +112,12 @@ def test_a_sweep_folds_once_and_refits_on_all_rows(spark, data, monkeypatch):
         assert np.allclose(model.coefficients.toArray(), spark_model.coefficients.toArray(), atol=2e-3)
         assert abs(model.intercept - spark_model.intercept) < 2e-3 and model.getRegParam() == spark_model.getRegParam()
         assert row.f1 == pytest.approx(binary_metrics(score(spark_model, vectors)).first()["f1"], abs=5e-3)
+
+
+def test_folded_rows_are_whole_and_in_small_blocks(spark):
+    data = [(i, Vectors.dense([float(i + j) for j in range(20)]), float(i % 2)) for i in range(3000)]
+    packed = linear_grid.folded_rows(spark.createDataFrame(data, ["key", "features", "label"]).coalesce(1), "key").collect()
+    assert max(len(r.x) for r in packed) <= 1 << 16 and {r.width for r in packed} == {20}
+    x = np.concatenate([np.frombuffer(r.x).reshape(-1, 20) for r in packed])
+    assert x[np.argsort(x[:, 0])].tolist() == [d[1].toArray().tolist() for d in data]
+    assert sorted(sum(len(r.label) // 8 for r in packed if r.fold == f) for f in range(3)) == [1000] * 3
